@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import connected_components
@@ -168,6 +169,20 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
+def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """rows(doc_id, fp) -> (fp, root, component_id), one row for each distinct fp.
+
+    root is the same for all fingerprints that links connect; component_id is
+    the smallest id there, null only if all rows there have null ids.
+    """
+    distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    nodes = connected_components(near_links(distinct.select("fp"), radius))
+    linked = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    linked = common.written(linked, "roots")
+    least = common.written(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    return common.written(linked.join(least, "root").select("fp", "root", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id): one row for each row of docs.
 
@@ -176,13 +191,35 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc
     component; rows with the same id are separate rows with the same component.
     """
     rows = common.written(fingerprints(docs, id_column, text_column), "fingerprints")
-    distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    nodes = connected_components(near_links(distinct.select("fp"), radius))
-    linked = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    linked = common.written(linked, "roots")
-    least = common.written(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    components = common.written(linked.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(components, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(components(rows, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Rows of docs (doc_id, text and any others), one of each component: the one with the smallest id.
+
+    Of rows that repeat that id one stays.  Rows with null ids go if their
+    component has an id; of a component without ids one row stays.
+    """
+    rows = common.written(fingerprints(docs), "fingerprints")
+    found = components(rows, radius)
+    placed = common.written(rows.where("doc_id is not null").join(found.select("fp", "component_id"), "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "placed")
+    kept = docs.where("doc_id is not null").join(placed.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    repeated = placed.where("doc_id = component_id and n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    kept = kept.select(*docs.columns)
+    if rows.where("doc_id is null").isEmpty():
+        return kept
+    nameless, at = docs.where("doc_id is null"), docs.columns.index("text")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in common.nonempty(batches):
+            fps = [fingerprint(x) for x in common.strings(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "_fp"])
+
+    marked = nameless.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    lone = found.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    return kept.unionByName(marked.join(lone, "_fp").dropDuplicates(["_root"]).select(*docs.columns))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

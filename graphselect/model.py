@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,12 @@ FUNCTIONS = T.StructType(
         T.StructField("meta", T.StringType()),
     ]
 )
-#: Of a function that only occurs as the end of a call or an override.
-DEFAULTS = {"demangled_name": F.lit(""), "parameters": F.array().cast("array<string>"), "is_virtual": F.lit(False), "contains_pointer_call": F.lit(False), "file_name": F.lit(""), "in_system_header": F.lit(False), "is_inlined": F.lit(False), "meta": F.lit(None).cast("string")}
+
+
+def _defaults() -> dict[str, Column]:
+    """Columns of a function that only occurs as the end of a call or an override."""
+    no, text = F.lit(False), F.lit("")
+    return {"demangled_name": text, "parameters": F.array().cast("array<string>"), "is_virtual": no, "contains_pointer_call": no, "file_name": text, "in_system_header": no, "is_inlined": no, "meta": F.lit(None).cast("string")}
 
 
 class CallGraph:
@@ -45,9 +49,10 @@ class CallGraph:
         """Tables from declared functions (any subset of FUNCTIONS' columns, with name); ends that are not declared get default rows."""
         calls = calls.select("src", "dst", F.coalesce("is_virtual", F.lit(False)).alias("is_virtual"))
         ends = calls.select(F.explode(F.array("src", "dst")).alias("name")).union(overrides.select(F.explode(F.array("src", "dst")).alias("name"))).distinct()
-        columns = [F.coalesce(F.col(c).cast(T_.dataType), DEFAULTS[c]).alias(c) if c in declared.columns else DEFAULTS[c].alias(c) for c, T_ in ((f.name, f) for f in FUNCTIONS) if c in DEFAULTS]
+        defaults, types = _defaults(), {f.name: f.dataType for f in FUNCTIONS}
+        columns = [(F.coalesce(F.col(c).cast(types[c]), d) if c in declared.columns else d).alias(c) for c, d in defaults.items()]
         known = declared.select("name", F.lit(True).alias("known"), *columns)
-        unknown = ends.join(known.select("name"), "name", "left_anti").select("name", F.lit(False).alias("known"), *(v.alias(c) for c, v in DEFAULTS.items()))
+        unknown = ends.join(known.select("name"), "name", "left_anti").select("name", F.lit(False).alias("known"), *(d.alias(c) for c, d in defaults.items()))
         every = known.unionByName(unknown).withColumn("is_destructor", is_destructor(F.col("name"))).select(*FUNCTIONS.names)
         return cls(every, calls, overrides.select("src", "dst"), traverse_virtual_dtors)
 

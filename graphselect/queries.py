@@ -92,7 +92,7 @@ def _up(seed: str, edges: str = "all_edges") -> str:
 
 _selected("everything", "all = intersect(%%, %%)", "SELECT name FROM names")
 _selected("by_name", 'by_name("(red|blue) .*", %%)', _where("regexp_full_match(demangled_name, '(red|blue) .*')"))
-_selected("by_name_params", 'by_name(".*", "Brand#1.*", "(SMALL|LARGE)", %%)', _where("p1 IS NOT NULL AND regexp_full_match(p1, 'Brand#1.*') AND p2 IN ('SMALL', 'LARGE')").replace("Brand#1", "Brand[#]1"))
+_selected("by_name_params", 'by_name(".*", "Brand.1.*", "(SMALL|LARGE)", %%)', _where("regexp_full_match(p1, 'Brand.1.*') AND p2 IN ('SMALL', 'LARGE')"))
 _selected("by_name_no_params", 'by_name("Customer.*", "()", %%)', _where("demangled_name LIKE 'Customer%'"))
 _selected("by_name_mangled", 'by_name("@(?!order).*7", %%)', "SELECT name FROM names WHERE name NOT LIKE 'order%' AND name LIKE '%7'")
 _selected("by_path", 'by_path("(customer|order)/[^/]*U.*", %%)', _where("regexp_full_match(file_name, '(customer|order)/[^/]*U.*')"))

@@ -195,13 +195,15 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "n_lines", "n_boilerplate_lines")
 
 
-def apply_rules(docs: DataFrame, field: Field, content_share: float = CONTENT_SHARE) -> DataFrame:
+def apply_rules(docs: DataFrame, field: Field, content_share: float = CONTENT_SHARE, prefix: str = "") -> DataFrame:
     """docs with the counts, base_failed, kept, content_share, n_lines and n_boilerplate_lines.
 
-    Null texts have no words. A text without lines has content share 0. Columns of these names in docs are replaced.
+    Null texts have no words. A text without lines has content share 0. prefix goes before these names.
+    Columns of these names in docs are replaced.
     """
     common.short_batches(docs.sparkSession)
-    docs = docs.drop(*RESULTS)
+    results = [prefix + n for n in RESULTS]
+    docs = docs.drop(*results)
     at = docs.columns.index("text")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -214,10 +216,10 @@ def apply_rules(docs: DataFrame, field: Field, content_share: float = CONTENT_SH
                 boilerplate = field.viterbi(x)
                 share = float(sizes[~boilerplate].sum() / sizes.sum()) if len(sizes) else 0.0
                 out.append((*counts, failed, not failed and share >= content_share, share, len(sizes), int(boilerplate.sum())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in zip(*out))], names=[*batch.schema.names, *RESULTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in zip(*out))], names=[*batch.schema.names, *results])
 
     kinds = [T.LongType()] * 5 + [T.BooleanType()] * 2 + [T.DoubleType()] + [T.LongType()] * 2
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(RESULTS, kinds))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(results, kinds))]))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

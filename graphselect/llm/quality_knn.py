@@ -172,22 +172,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where=
     return fit([(np.array(r["terms"], np.int64), np.array(r["n"], np.float32)) for r in found], [r["quality"] for r in found])
 
 
-def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted; null texts count as empty. Columns of these names in docs are replaced."""
+def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score and predicted, under these names; null texts count as empty. Columns of these names in docs are replaced."""
     spark = docs.sparkSession
     common.short_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most SAMPLE x DIMENSIONS and TERMS x DIMENSIONS numbers
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
     at = docs.columns.index("text")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in common.nonempty(batches):
             score = shared.value.scores(common.strings(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, *names])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
 def learnable():

@@ -14,12 +14,14 @@ import numpy as np
 
 #: Characters that no tokenizer takes for white space or joins with a space before them.
 PLAIN = "!-~¡-¬®-ʯ"
+#: Letters that stay one letter in lower case.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 
 
 class ChunkTokens:
     """ids(texts) gives for each text its ids, as `dtype`."""
 
-    def __init__(self, tokenizer_file: str, memo_entries: int = 600_000, memo_chars: int = 40, group: int = 64):
+    def __init__(self, tokenizer_file: str, memo_entries: int = 600_000, memo_chars: int = 40, group: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -30,16 +32,24 @@ class ChunkTokens:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.memo_entries, self.memo_chars, self.group = memo_entries, memo_chars, group
-        #: A space before a plain character starts a piece; other spaces may belong to a longer run.
-        self.cut = re.compile(f" (?=[{PLAIN}])")
-        self.doubtful = re.compile(f" (?:[^{PLAIN}]|\\Z)")
-        self.plain = re.compile(f"[{PLAIN}]+\\Z").match
         if self.keeps_space:
+            # A space before a plain character starts a piece; other spaces may belong to a longer run.
+            self.cut, self.plain = re.compile(f" (?=[{PLAIN}])"), re.compile(f"[{PLAIN}]+\\Z").match
+            self.doubtful = re.compile(f" (?:[^{PLAIN}]|\\Z)").search
             back = {c: b for b, c in _byte_characters().items()}
             added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
             self.bytes_of = np.zeros(size, "i8")
             for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
                 self.bytes_of[i] = added[i] if i in added else sum(c in back for c in token)
+        else:
+            # White space vanishes. str.split() also splits at characters that are none for the tokenizer.
+            self.cut, self.doubtful = re.compile("[ \\n]+"), re.compile("[\x1c-\x1f]").search
+            # A word, and one run of signs after it: as many word ends as the tokenizer makes of them.
+            self.plain = re.compile(f"[{LETTERS}]+[.,;:!?*%&$#|]*\\Z").match
+            suffix = self.tokenizer.model.end_of_word_suffix
+            self.ends_word = np.zeros(size, bool)
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+                self.ends_word[i] = bool(suffix) and token.endswith(suffix)
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -50,44 +60,45 @@ class ChunkTokens:
         lead = " " if self.keeps_space else ""
         found = {x: self._alone(lead + x) for x in set(missing).difference(simple)}
         groups = [simple[k : k + self.group] for k in range(0, len(simple), self.group)]
-        if self.keeps_space:
-            encoded = self.tokenizer.encode_batch_fast(["".join([" " + x for x in g]) for g in groups], add_special_tokens=False)
-        else:
-            encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast([lead + " ".join(g) for g in groups], add_special_tokens=False)
         for g, e in zip(groups, encoded, strict=True):
             ids = np.array(e.ids, self.dtype)
             if self.keeps_space:
-                starts = np.cumsum(self.bytes_of[ids]) - self.bytes_of[ids]
-                edges = np.cumsum([0] + [len(x.encode()) + 1 for x in g])
+                at = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(x.encode()) + 1 for x in g])) + 1
             else:
-                starts = np.array([a for a, _ in e.offsets], "i8")
-                edges = np.cumsum([0] + [len(x) + 1 for x in g])
-            at = np.searchsorted(starts, edges).tolist()
-            raw, n = ids.tobytes(), self.dtype.itemsize
-            found.update((x, raw[a * n : b * n]) for x, a, b in zip(g, at, at[1:]))
+                ends, count = np.flatnonzero(self.ends_word[ids]), np.cumsum([1 + (not x[-1].isalpha()) for x in g])
+                if len(ends) != count[-1]:
+                    found.update((x, self._alone(x)) for x in g)
+                    continue
+                at = ends[count - 1] + 1
+            raw, n, start = ids.tobytes(), self.dtype.itemsize, 0
+            for x, end in zip(g, (at * n).tolist()):
+                found[x] = raw[start:end]
+                start = end
         return found
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut, heads, pieces = [], [], []
+        cut, heads, pieces = [0], [], []
         for text in texts:
-            parts = self.cut.split(text) if self.doubtful.search(text) else text.split(" ")
-            heads.append(parts[0])
-            del parts[0]
-            cut.append(parts)
+            if self.keeps_space:
+                parts = self.cut.split(text) if self.doubtful(text) else text.split(" ")
+                heads.append(parts[0])
+                del parts[0]
+            else:
+                parts = self.cut.split(text) if self.doubtful(text) else text.split()
             pieces += parts
-        if not self.keeps_space:
-            pieces += heads
-        memo = self.memo
-        if len(memo) > self.memo_entries:
-            memo.clear()
-        found = self._fill(list(set(pieces).difference(memo)))
-        long = {x: y for x, y in found.items() if len(x) > self.memo_chars}
-        memo.update((x, y) for x, y in found.items() if len(x) <= self.memo_chars)
-        first = [self._alone(x) for x in heads] if self.keeps_space else [memo[x] if x in memo else long[x] for x in heads]
-        if not long:
-            rows = [b"".join([head, *map(memo.__getitem__, parts)]) for head, parts in zip(first, cut)]
-        else:
-            rows = [b"".join([head, *[memo[x] if x in memo else long[x] for x in parts]]) for head, parts in zip(first, cut)]
+            cut.append(len(pieces))
+        if len(self.memo) > self.memo_entries:
+            self.memo.clear()
+        found = list(map(self.memo.get, pieces))
+        missing = {x for x, y in zip(pieces, found) if y is None}
+        if missing:
+            new = self._fill(list(missing))
+            self.memo.update((x, y) for x, y in new.items() if len(x) <= self.memo_chars)
+            found = [new[x] if y is None else y for x, y in zip(pieces, found)]
+        rows = [b"".join(found[a:b]) for a, b in zip(cut, cut[1:])]
+        if self.keeps_space:
+            rows = [self._alone(head) + row for head, row in zip(heads, rows)]
         return [np.frombuffer(x, self.dtype) for x in rows]
 
 

@@ -8,7 +8,8 @@ before each block of the bitmap, so the position of an id in the next level is
 one directory entry and a popcount away.  Any id, and any range of ids, is read
 without decoding what stands before it.
 
-Segments are rows of a table (part, segment, n_docs, n_tokens, payload) that
+Segments are rows of a table (part, segment, first, n_docs, n_tokens, payload;
+first: ids before it in its part) that
 Spark's own committer writes: a task that is repeated, or an executor that is
 lost, leaves no half-written segment behind, and any store that Spark can
 write to will do.  A payload is self-contained; `export_files` puts payloads
@@ -139,31 +140,31 @@ def token_segments(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int | No
     common.short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         tokens, part, segment = chunk_tokens(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([] if end_id is None else [end_id], "<u4")
         names: list = []
         held: list[np.ndarray] = []
-        n = 0
+        first = n = 0
 
         def close() -> pa.RecordBatch:
-            return common.record(schema, [[part], [segment], [len(names)], [n], [encode_segment(np.concatenate([*held, np.array([], "u4")]), names, [len(x) for x in held])]])
+            return common.record(schema, [[part], [segment], [first], [len(names)], [n], [encode_segment(np.concatenate([*held, np.array([], "u4")]), names, [len(x) for x in held])]])
 
         for batch in common.nonempty(batches):
             for name, ids in zip(batch.column(0).to_pylist(), tokens.ids(common.strings(batch.column(1)))):
                 ids = np.concatenate([ids.astype("<u4"), end])
                 if names and n + len(ids) > segment_tokens:
                     yield close()
-                    segment, names, held, n = segment + 1, [], [], 0
+                    segment, first, names, held, n = segment + 1, first + n, [], [], 0
                 names.append(name)
                 held.append(ids)
                 n += len(ids)
         if names:
             yield close()
 
-    return rows.select("doc_id", "text").mapInArrow(run, "part int, segment int, n_docs long, n_tokens long, payload binary")
+    return rows.select("doc_id", "text").mapInArrow(run, "part int, segment int, first long, n_docs long, n_tokens long, payload binary")
 
 
 def write_token_files(docs: DataFrame, path: str, **options) -> None:
@@ -172,20 +173,15 @@ def write_token_files(docs: DataFrame, path: str, **options) -> None:
 
 def read_token_files(spark, path: str, with_ids: bool = True) -> DataFrame:
     """Rows of documents from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, with with_ids, ids."""
-    files = spark.read.schema("part int, segment int, n_docs long, n_tokens long, payload binary").parquet(path)
+    files = spark.read.schema("part int, segment int, first long, n_docs long, n_tokens long, payload binary").parquet(path)
     # One number for each part, of which there are as many as partitions that wrote: a bounded list.
     sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     first, at = [], 0
     for part, n in sums:
         first.append((part, at))
         at += n
-    firsts = spark.createDataFrame(first, "part int, first long")
-    from pyspark.sql import Window
-
-    before = files.select("part", "segment", "n_tokens").join(F.broadcast(firsts), "part")
-    order = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("part", "segment", (F.col("first") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).alias("base"))
-    rows = files.join(before, ["part", "segment"]).select("base", "payload")
+    firsts = spark.createDataFrame(first, "part int, before long")
+    rows = files.join(F.broadcast(firsts), "part").select((F.col("before") + F.col("first")).alias("base"), "payload")
     more = [("ids", pa.list_(pa.int32()))] if with_ids else []
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *more])
 

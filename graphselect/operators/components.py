@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import written
-from .iterate import reversed_edges
+from .iterate import kept_short, reversed_edges, union_all
+
+
+#: Steps that a round takes before it is written: rounds cost more than steps.
+HOPS = 4
 
 
 def least_labels(edges: DataFrame) -> DataFrame:
     """(name, label): for each end of edges the least name among those that reach it, itself included."""
-    best = written(edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn("label", F.col("name")), "labels")
-    changed = best
-    while not changed.isEmpty():
-        offers = changed.select(F.col("name").alias("src"), "label").join(edges, "src").groupBy(F.col("dst").alias("name")).agg(F.min("label").alias("offer"))
-        changed = written(offers.join(best, "name").where("offer < label").select("name", F.col("offer").alias("label")), "labels")
-        best = written(best.union(changed).groupBy("name").agg(F.min("label").alias("label")), "labels")
-    return best
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    best = written(ends.select("name", F.col("name").alias("label"), F.lit(True).alias("fresh")), "labels")
+    while not best.where("fresh").isEmpty():
+        at = best.select("name", "label", F.col("label").alias("was"), "fresh")
+        for _ in range(HOPS):
+            changed = at.where("fresh or label < was")
+            offers = changed.select(F.col("name").alias("src"), "label").join(edges, "src").groupBy(F.col("dst").alias("name")).agg(F.min("label").alias("offer"))
+            at = at.join(offers, "name", "left").select("name", F.least("label", "offer").alias("label"), "was", "fresh")
+        best = written(at.select("name", "label", (F.col("label") < F.col("was")).alias("fresh")), "labels")
+    return best.select("name", "label")
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -53,17 +58,20 @@ def strongly_connected(names: DataFrame, edges: DataFrame) -> DataFrame:
         frontier = written(labels.where("name = label"), "members")
         members = [frontier]
         while not frontier.isEmpty():
-            ahead = frontier.select(F.col("name").alias("src"), "label").join(back, "src").select(F.col("dst").alias("name"), "label").distinct()
-            frontier = written(ahead.join(reduce(DataFrame.union, members).select("name"), "name", "left_anti"), "members")
-            members.append(frontier)
-        settled = written(reduce(DataFrame.union, members), "settled")
+            hops = [frontier]
+            for _ in range(HOPS):
+                hops.append(hops[-1].select(F.col("name").alias("src"), "label").join(back, "src").select(F.col("dst").alias("name"), "label").distinct())
+            ahead = union_all(hops[1:]).distinct()
+            frontier = written(ahead.join(union_all(members).select("name"), "name", "left_anti"), "members")
+            members = kept_short([*members, frontier])
+        settled = written(union_all(members), "settled")
         found.append(settled)
         left = inner.join(settled.select(F.col("name").alias("src")), "src", "left_anti").join(settled.select(F.col("name").alias("dst")), "dst", "left_anti")
         rest = _trimmed(written(left.select("src", "dst"), "rest"))
     names = names.select("name").distinct()
     if not found:
         return names.withColumn("scc", F.col("name"))
-    every = reduce(DataFrame.union, found)
+    every = union_all(found)
     return names.join(every, "name", "left").select("name", F.coalesce("label", F.col("name")).alias("scc"))
 
 

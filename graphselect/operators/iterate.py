@@ -17,10 +17,18 @@ from ..tables import written
 INFINITY = 2147483647
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+#: Steps of a loop that are kept as tables of their own; then they become one, so that plans stay short.
+STEPS = 8
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def kept_short(parts: list[DataFrame]) -> list[DataFrame]:
+    return parts if len(parts) <= STEPS else [written(union_all(parts), "steps")]
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -32,9 +40,9 @@ def distances(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     while not frontier.isEmpty():
         depth += 1
         ahead = frontier.select(F.col("name").alias("src")).join(edges, "src").select(F.col("dst").alias("name")).distinct()
-        frontier = written(ahead.join(_union(found).select("name"), "name", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        found.append(frontier)
-    return _union(found)
+        frontier = written(ahead.join(union_all(found).select("name"), "name", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        found = kept_short([*found, frontier])
+    return union_all(found)
 
 
 def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,7 +62,7 @@ def longest_levels(seeds: DataFrame, edges: DataFrame, limit: int = 1_000_000) -
         frontier = written(frontier.select(F.col("name").alias("src")).join(edges, "src").select(F.col("dst").alias("name")).distinct(), "frontier")
     if not found:
         return frontier.withColumn("level", F.lit(0))
-    return _union(found).groupBy("name").agg(F.max("level").alias("level"))
+    return union_all(found).groupBy("name").agg(F.max("level").alias("level"))
 
 
 def least_cost(seed: DataFrame, edges: DataFrame, weights: DataFrame) -> DataFrame:
@@ -64,10 +72,9 @@ def least_cost(seed: DataFrame, edges: DataFrame, weights: DataFrame) -> DataFra
     """
     priced = edges.join(weights.select(F.col("name").alias("src"), "weight"), "src").select("src", "dst", "weight")
     priced = written(priced, "priced")
-    best = written(seed.select("name").distinct().withColumn("cost", F.lit(0).cast("long")), "cost")
-    changed = best
-    while not changed.isEmpty():
+    best = written(seed.select("name").distinct().select("name", F.lit(0).cast("long").alias("cost"), F.lit(True).alias("fresh")), "cost")
+    while not (changed := best.where("fresh")).isEmpty():
         offers = changed.select(F.col("name").alias("src"), "cost").join(priced, "src").groupBy(F.col("dst").alias("name")).agg(F.min(F.col("cost") + F.col("weight")).alias("offer"))
-        changed = written(offers.join(best, "name", "left").where("cost is null or offer < cost").select("name", F.col("offer").alias("cost")), "cost")
-        best = written(best.join(changed.select("name"), "name", "left_anti").union(changed), "cost")
-    return best
+        better = F.col("offer").isNotNull() & (F.col("cost").isNull() | (F.col("offer") < F.col("cost")))
+        best = written(best.join(offers, "name", "full").select("name", F.least("cost", "offer").alias("cost"), better.alias("fresh")), "cost")
+    return best.select("name", "cost")

@@ -203,7 +203,8 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = common.written(fingerprints(docs), "fingerprints")
     found = components(rows, radius)
     placed = common.written(rows.where("doc_id is not null").join(found.select("fp", "component_id"), "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "placed")
-    kept = docs.where("doc_id is not null").join(placed.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    # The ids that go grow with the input: texts and ids meet by exchange at every size.
+    kept = docs.where("doc_id is not null").join(placed.where("doc_id <> component_id").select("doc_id").hint("merge"), "doc_id", "left_anti")
     repeated = placed.where("doc_id = component_id and n > 1").select("doc_id")
     if not repeated.isEmpty():
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

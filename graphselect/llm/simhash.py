@@ -166,7 +166,8 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             return schema.empty_table()
         return pa.Table.from_arrays([pa.array(x) for x in tile_links(own[a], own[b] if a != b else None, radius)], schema=schema)
 
-    return met.groupBy("a", "b").applyInArrow(compare, "u long, v long")
+    # A pair is little data and much work: partitions must not be merged by size.
+    return met.repartition(common.shuffle_partitions(spark), "a", "b").groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
 def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:

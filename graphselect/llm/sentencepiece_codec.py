@@ -176,28 +176,25 @@ class PrefixTableEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without begin and end."""
-        cut, short = [], []
+        cut, pieces = [0], []
         for text in texts:
-            if not text:
-                cut.append([])
-                continue
-            text = text.replace(" ", MARK)
-            parts = text.split(MARK)
-            if "" in parts[:-1]:
-                parts = [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + text)]
-            cut.append(parts)
-            short += parts
-        memo = self.memo
-        if len(memo) > self.memo_entries:
-            memo.clear()
+            if text:
+                text = text.replace(" ", MARK)
+                parts = text.split(MARK)
+                if "" in parts[:-1]:
+                    parts = [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + text)]
+                pieces += parts
+            cut.append(len(pieces))
+        if len(self.memo) > self.memo_entries:
+            self.memo.clear()
         if len(self.pieces) > self.memo_entries // 2:
             self.pieces.clear()
-        long: dict[str, bytes] = {}
-        for part in set(short).difference(memo):
-            (memo if len(part) <= self.memo_chars else long)[part] = self.part_ids(part)
-        if not long:
-            return [b"".join(map(memo.__getitem__, parts)) for parts in cut]
-        return [b"".join([memo[x] if x in memo else long[x] for x in parts]) for parts in cut]
+        found = list(map(self.memo.get, pieces))
+        new = {x: self.part_ids(x) for x in {x for x, y in zip(pieces, found) if y is None}}
+        if new:
+            self.memo.update((x, y) for x, y in new.items() if len(x) <= self.memo_chars)
+            found = [new[x] if y is None else y for x, y in zip(pieces, found)]
+        return [b"".join(found[a:b]) for a, b in zip(cut, cut[1:])]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control ids vanish, one leading space goes, broken bytes become U+FFFD each."""

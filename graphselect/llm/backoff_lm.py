@@ -24,8 +24,6 @@ hashes.  Every count covers all training documents; nothing is pruned.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,15 +35,19 @@ from . import common
 ADD = 0.1
 LINK = 0.4
 #: UTF-8 bytes of texts in a block, and for each shard; at least one block for each shuffle partition.
-BLOCK_BYTES = 24 << 20
-SHARD_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
+SHARD_BYTES = 16 << 20
 #: Keys that no word is expected to hash to.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
-def word_keys(text: str) -> list[int]:
-    """Hashes of the words, A-Z in lower case."""
-    return list(map(xxhash.xxh64_intdigest, text.encode("utf-8", "surrogatepass").lower().split()))  # bytes split at 20 and 09-0D
+def token_keys(text: str) -> np.ndarray:
+    """Hashes of the words, A-Z in lower case, and the end."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes split at 20 and 09-0D
+    keys = np.empty(len(words) + 1, np.uint64)
+    keys[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    keys[-1] = END
+    return keys
 
 
 def pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -60,11 +62,12 @@ class Block:
     """Tokens of some texts, and their distinct keys in ascending order."""
 
     def __init__(self, texts: list[str]):
-        words = [word_keys(x) for x in texts]
-        self.lengths = np.array([len(x) + 1 for x in words], np.int64)
+        keys = [token_keys(x) for x in texts]
+        self.lengths = np.array([len(x) for x in keys], np.int64)
         self.last = np.cumsum(self.lengths) - 1
-        n = int(self.lengths.sum())
-        tokens = np.fromiter(chain.from_iterable(chain(x, (int(END),)) for x in words), np.uint64, n)
+        tokens = np.concatenate([*keys, np.zeros(0, np.uint64)])
+        del keys
+        n = len(tokens)
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
         before[np.concatenate([[0], self.last[:-1] + 1]) if n else []] = START

@@ -14,7 +14,7 @@ so a group of near copies costs rows in proportion to its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +36,25 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _POSITION = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the shingles of words of a text; 0 if it has no word."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of words of a text, in its order; a text of fewer words is one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and split at 20 and 09-0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the shingles of words of a text; 0 if it has no word."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _POSITION).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(2 * counts.ravel() > len(hashes), bitorder="little").tobytes(), "little", signed=True)
 
@@ -171,13 +177,18 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """rows(doc_id, fp) -> (fp, root, component_id), one row for each distinct fp.
+    """As placed_components; fingerprints within the radius are linked."""
+    return placed_components(rows, lambda distinct: near_links(distinct.select("fp"), radius))
+
+
+def placed_components(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows(doc_id, fp), and links (u, v) from distinct fps -> (fp, root, component_id), one row for each distinct fp.
 
     root is the same for all fingerprints that links connect; component_id is
     the smallest id there, null only if all rows there have null ids.
     """
     distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    nodes = connected_components(near_links(distinct.select("fp"), radius))
+    nodes = connected_components(links(distinct))
     linked = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = common.written(linked, "roots")
     least = common.written(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
@@ -202,7 +213,11 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     component has an id; of a component without ids one row stays.
     """
     rows = common.written(fingerprints(docs), "fingerprints")
-    found = components(rows, radius)
+    return one_of_each(docs, rows, components(rows, radius), fingerprint)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, found: DataFrame, fp_of: Callable[[str], int]) -> DataFrame:
+    """As one_of_each_group: rows(doc_id, fp) of docs, found as of placed_components, and the function from texts to fps."""
     placed = common.written(rows.where("doc_id is not null").join(found.select("fp", "component_id"), "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "placed")
     # The ids that go grow with the input: texts and ids meet by exchange at every size.
     kept = docs.where("doc_id is not null").join(placed.where("doc_id <> component_id").select("doc_id").hint("merge"), "doc_id", "left_anti")
@@ -216,7 +231,7 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in common.nonempty(batches):
-            fps = [fingerprint(x) for x in common.strings(batch.column(at))]
+            fps = [fp_of(x) for x in common.strings(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "_fp"])
 
     marked = nameless.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))

@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc
 def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows of docs (doc_id, text and any others), one of each component: the one with the smallest id.
 
-    Of rows that repeat that id one stays.  Rows with null ids go if their
+    Of rows that repeat that id in a component one stays; an id whose texts are
+    in several components may stay in each.  Rows with null ids go if their
     component has an id; of a component without ids one row stays.
     """
     rows = common.written(fingerprints(docs), "fingerprints")
@@ -218,23 +219,27 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def one_of_each(docs: DataFrame, rows: DataFrame, found: DataFrame, fp_of: Callable[[str], int]) -> DataFrame:
     """As one_of_each_group: rows(doc_id, fp) of docs, found as of placed_components, and the function from texts to fps."""
-    placed = common.written(rows.where("doc_id is not null").join(found.select("fp", "component_id"), "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "placed")
-    # The ids that go grow with the input: texts and ids meet by exchange at every size.
-    kept = docs.where("doc_id is not null").join(placed.where("doc_id <> component_id").select("doc_id").hint("merge"), "doc_id", "left_anti")
-    repeated = placed.where("doc_id = component_id and n > 1").select("doc_id")
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    kept = kept.select(*docs.columns)
-    if rows.where("doc_id is null").isEmpty():
-        return kept
-    nameless, at = docs.where("doc_id is null"), docs.columns.index("text")
+    schema, at = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]), docs.columns.index("text")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in common.nonempty(batches):
             fps = [fp_of(x) for x in common.strings(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "_fp"])
 
-    marked = nameless.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    named = rows.where("doc_id is not null").join(found, "fp")
+    placed = common.written(named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "placed")
+    # The ids that go grow with the input: texts and ids meet by exchange at every size.
+    kept = docs.where("doc_id is not null").join(placed.where("doc_id <> component_id or n > 1").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = placed.where("n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        # Texts of one id may be in several components: which of its rows stay is told by their fps.
+        first = named.where("doc_id = component_id").join(repeated, "doc_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("row")).select("row.doc_id", F.col("row.fp").alias("_fp"))
+        several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).mapInArrow(run, schema)
+        kept = kept.unionByName(several.join(first, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"]).select(*docs.columns))
+    if rows.where("doc_id is null").isEmpty():
+        return kept
+    nameless = docs.where("doc_id is null")
+    marked = nameless.mapInArrow(run, schema)
     lone = found.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
     return kept.unionByName(marked.join(lone, "_fp").dropDuplicates(["_root"]).select(*docs.columns))
 

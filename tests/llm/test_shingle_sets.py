@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from graphselect.llm import shingle_sets
+from graphselect.llm import shingle_sets, simhash
 
 
 def five_words(text):
@@ -64,3 +64,12 @@ def test_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string").repartition(3)
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == sorted(set(groups(texts)[1]))
+
+
+def test_every_component_keeps_a_row_where_ids_repeat(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (7, d), (7, d), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (simhash.one_of_each_group, shingle_sets.one_of_each_near_copy):
+        assert {tuple(r) for r in keep(docs).collect()} == {(1, a), (5, b), (7, c), (7, d)}
+        assert keep(docs).count() == 4

@@ -31,6 +31,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup popup modal overlay sidebar sidebars aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations pagination pager toolbar login search skip copyright legal disclaimer header topbar".split()
 )
+#: Words that make a header an article's own.
+TITLED = frozenset("entry post article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: An opening tag on the left closes open tags on the right, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -40,15 +42,17 @@ FORMATTING = frozenset("a b big code em font i s small strong sub sup tt u span"
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "furniture", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
+    __slots__ = ("tag", "children", "parent", "furniture", "cut", "article", "articles", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
 
     def __init__(self, tag: str, parent: Node | None, furniture: bool = False):
         self.tag, self.parent, self.furniture = tag, parent, furniture
+        self.cut = self.article = False
         self.children: list[Node | str] = []
 
 
-def _is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in DROPPED:
+def _is_cut(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Furniture whatever it contains."""
+    if tag in DROPPED and tag != "form":
         return True
     for name, value in attrs:
         if name == "hidden":
@@ -59,8 +63,15 @@ def _is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and not HINTS.isdisjoint(re.split(r"[\s_\-:]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-            return True
+    return False
+
+
+def _is_hinted(attrs: list[tuple[str, str | None]]) -> bool:
+    for name, value in attrs:
+        for one in value.split() if value and name in ("class", "id") else ():
+            words = set(re.split(r"[_\-:]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()))
+            if words & HINTS and not (words & HINTS == {"header"} and words & TITLED):  # entry-header has the title
+                return True
     return False
 
 
@@ -95,7 +106,12 @@ class Tree(HTMLParser):
         self.handle_starttag(tag, attrs)  # in HTML the slash means nothing
 
     def _add(self, tag, attrs) -> Node:
-        node = Node(tag, self.at, tag not in ("body", "article", "main") and _is_furniture(tag, attrs))
+        node = Node(tag, self.at)
+        if tag in ("article", "main"):
+            node.article = not _is_hinted(attrs)
+        elif tag != "body":
+            node.cut = _is_cut(tag, attrs)
+            node.furniture = node.cut or tag == "form" or _is_hinted(attrs)
         self.at.children.append(node)
         return node
 
@@ -128,7 +144,25 @@ def parse(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    return tree.body or tree.root
+    body = tree.body or tree.root
+    _keep_wrappers(body)
+    return body
+
+
+def _keep_wrappers(body: Node) -> None:
+    """Elements that only hints or their being forms make furniture stay if most of its articles' text, or of the page's where it has none, is in them."""
+    nodes, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack += [x for x in node.children if isinstance(x, Node) and not x.cut]
+    for node in reversed(nodes):
+        inner = [x for x in node.children if isinstance(x, Node) and not x.cut]
+        node.chars = sum(len("".join(x.split())) for x in node.children if isinstance(x, str)) + sum(x.chars for x in inner)
+        node.articles = node.chars if node.article else sum(x.articles for x in inner)
+    for node in nodes:
+        if node.furniture and (2 * node.articles > body.articles if body.articles else 2 * node.chars > body.chars):
+            node.furniture = False
 
 
 def _order(root: Node) -> list[Node]:

@@ -5,9 +5,10 @@ or id) is cut off.  Each node that is left gets its composite text density:
 characters for each tag, adjusted by how much of both belongs to links.  A
 node's density sum is that of its children; the node with the greatest sum is
 the core of the article, and the least density on the way from the body to it
-is the threshold.  The subtree grows from the core towards the body while what
-is beside it is as dense as the threshold or is a heading, and link lists below
-the threshold are left out.
+is the threshold.  The subtree grows from the core towards the body while
+something beside it is as dense as the threshold or is a heading; what is
+sparser there is left out, and so are link lists below the threshold, but not
+those of an article element.
 """
 
 from __future__ import annotations
@@ -219,8 +220,12 @@ def main_node(body: Node) -> tuple[Node, float]:
         up = found.parent
         beside = [x for x in up.children if isinstance(x, Node) and x is not found and not x.furniture and x.chars]
         inside = any(a.tag in ("article", "main") for a in _ancestors(found))
-        if not inside and not all(x.tag in HEADINGS or x.density >= threshold for x in beside):
-            break
+        if not inside and beside:
+            sparse = [x for x in beside if x.tag not in HEADINGS and x.density < threshold]
+            if len(sparse) == len(beside):
+                break
+            for x in sparse:
+                x.furniture = True
         found = up
     return found, threshold
 
@@ -231,6 +236,12 @@ def _ancestors(node: Node) -> Iterator[Node]:
         yield node
 
 
+def _is_link_block(node: Node, threshold: float) -> bool:
+    """Whether node is mostly links below the threshold; an article's own are part of it."""
+    sparse = node.tag in ("ul", "ol", "div", "section", "table") and node.density < threshold and 2 * node.link_chars > node.chars
+    return sparse and not any(a.tag in ("article", "main") for a in _ancestors(node))
+
+
 def extract(html: str) -> str:
     """Main text: blocks in page order, joined by newlines; empty if there is none."""
     body = parse(html)
@@ -253,7 +264,7 @@ def extract(html: str) -> str:
             close()
         elif isinstance(x, str):
             run.append(x)
-        elif not x.furniture and not (x is not found and x.tag in ("ul", "ol", "div", "section", "table") and x.density < threshold and 2 * x.link_chars > x.chars):
+        elif not x.furniture and not (x is not found and _is_link_block(x, threshold)):
             block = x.tag in BLOCKS
             if block:
                 close()

@@ -18,3 +18,15 @@ def test_wrappers_with_hints_stay(wrapper, inner):
 def test_articles_among_comments_are_no_wrappers_mark():
     page = f'<body><article><p>{TEXT}</p></article><div id="comments"><article class="comment"><p>Nice post!</p></article></div></body>'
     assert html_density.extract(page) == TEXT.strip()
+
+
+def test_sparse_sibling_does_not_end_the_growth():
+    parts = [f"<div>{''.join(f'<p>{c * 300}</p>' for _ in range(5))}</div>" for c in "ab"]
+    links = "<ul>" + '<li><a href="x">tenletters</a>' * 6 + "</ul>"
+    want = "\n".join([*["a" * 300] * 5, *["b" * 300] * 5])
+    assert html_density.extract(f"<body>{parts[0]}{links}{parts[1]}</body>") == want
+
+
+def test_links_of_an_article_stay():
+    links = "<ul>" + '<li><a href="x">A reference</a>' * 3 + "</ul>"
+    assert html_density.extract(f"<body><article><p>{TEXT}</p><p>{TEXT}</p>{links}</article></body>").endswith("\n".join(["A reference"] * 3))

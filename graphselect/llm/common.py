@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python. Texts have no length bound, so batches are kept short.
+from ..tables import discard, new_folder, written
+
+__all__ = ["crc_of_id", "discard", "new_folder", "nonempty", "record", "short_batches", "shuffle_partitions", "strings", "table", "text_bytes", "written"]
+
+#: Rows and bytes of one Arrow batch sent to Python: texts have no length bound, so both are kept small.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,28 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Python workers see at most BATCH_ROWS rows at once from now on."""
+    """Python workers see at most BATCH_ROWS rows, and BATCH_BYTES or one row, at once; plans are lazy, so this holds for the session from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local[") and master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="graphselect-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

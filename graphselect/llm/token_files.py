@@ -210,8 +210,6 @@ def export_files(spark, path: str, folder: str) -> int:
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = common.new_folder(spark, "tokens")
     write_token_files(common.table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path, with_ids=False)

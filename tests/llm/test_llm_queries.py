@@ -89,26 +89,40 @@ def test_components(spark, shape):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
 
 
-def test_language_model(docs, monkeypatch):
-    monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", 2000)
-    rows = [(i, t or "") for i, t, *_ in ROWS]
-    tokens = [(i, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) + [None]) for i, t in rows]
-    train = [w for i, w in tokens if i is not None and zlib.crc32(str(i).encode()) % 10]
-    c, pairs = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(["<s>", *w], w))
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-
-    def score(w):
-        total = 0
-        for a, b in zip(["<s>", *w], w):
-            at = len(train) if a == "<s>" else c[a]
-            total += math.log10(0.4 * pairs[a, b] / at + 0.6 * p(b) if at else p(b))
-        return total
-
-    found = backoff_lm.score_texts(docs, (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)).collect()
-    key = lambda r: (r[0] or -1, r[1], round(r[2], 6), round(r[3], 6))
-    got = sorted((r["doc_id"] or -1, r["n_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in found)
-    assert got == sorted(key((i, len(w), sum(math.log10(p(x)) for x in w), score(w))) for i, w in tokens)
+def tokens_of(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), None]
+
+
+def language_model(train):
+    """(base, score) by the formulas of the module's docstring, with dictionaries."""
+    c = Counter(w for x in train for w in x)
+    n, v, (k1, k2) = sum(c.values()), len(c), backoff_lm.MASS
+    pairs, triples = Counter(), Counter()
+    for x in train:
+        x = ["<s>", *x]
+        pairs.update(zip(x, x[1:]))
+        triples.update(zip(x, x[1:], x[2:]))
+    c["<s>"] = len(train)
+    p1 = lambda w: ((c[w] if w != "<s>" else 0) + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda u, w: (pairs[u, w] + k1 * p1(w)) / (c[u] + k1)
+    p3 = lambda t, u, w: (triples[t, u, w] + k2 * p2(u, w)) / (pairs[t, u] + k2)
+
+    def score(x):
+        x = ["<s>", *x]
+        return math.log10(p2(x[0], x[1])) + sum(math.log10(p3(*x[k : k + 3])) for k in range(len(x) - 2))
+
+    return c, n, (lambda x: sum(math.log10(p1(w)) for w in x)), score
+
+
+@pytest.mark.parametrize("fan", [2, 4096])
+def test_language_model(docs, fan):
+    rows = [(i, tokens_of(t)) for i, t, *_ in ROWS]
+    teaches = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
+    _, n, base, score = language_model([x for i, x in rows if teaches(i)])
+    found = backoff_lm.score_texts(docs, (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0), block_chars=300, fan=fan).collect()
+    key = lambda i, x, a, b: (i or -1, x, round(a, 6), round(b, 6))
+    got = sorted(key(r["doc_id"], r["n_tokens"], r["base_score"], r["score"]) for r in found)
+    assert got == sorted(key(i, len(x), base(x), score(x)) for i, x in rows)
     assert {r["train_tokens"] for r in found} == {n}
 
 

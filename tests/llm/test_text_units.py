@@ -196,22 +196,41 @@ def test_phrases_depend_on_the_text_only():
     assert 0.2 < phrase_prints.near(p[0], p[4]) < 0.5
 
 
-def test_weights_out_of_a_state_sum_to_one():
-    docs = ["a b a c", "a b", "b b c"]
-    block = backoff_lm.Block(docs)
-    words, pairs = block.counts(np.array([True, True, True]))
-    model = backoff_lm.BackoffAutomaton(words, pairs, int(words.sum()), len(words), 3)
-    seen = {(s, w): p for s, w, p in zip(block.before.tolist(), block.at.tolist(), block.pair_at.tolist())}
-    unknown = backoff_lm.ADD / (words.sum() + backoff_lm.ADD * (len(words) + 1))
-    for state in [-1, *range(len(words) - 1)]:
-        if words[state] == 0:
-            continue
-        total = 0.0
-        for w in range(len(words)):
-            if (state, w) in seen:
-                total += 10 ** model.traverse(np.array([w]), np.array([state]), np.array([seen[state, w]]))[0]
-            else:
-                total += (1 - backoff_lm.LINK) * model.root[w]
-        if (state, 0) in seen or any(k[0] == state for k in seen):
-            assert abs(total + (1 - backoff_lm.LINK) * unknown - 1) < 1e-9
+def automaton(docs, train=None):
+    block = backoff_lm.Block.of(docs)
+    counts = block.counts(np.ones(len(docs), bool) if train is None else np.array(train))
+    words = counts[: len(block.words)]
+    starts = len(docs) if train is None else sum(train)
+    return block, backoff_lm.BackoffAutomaton(block, counts, int(words.sum()), int((words > 0).sum()), starts), words
+
 
+def test_weights_out_of_a_state_sum_to_one():
+    block, model, words = automaton(["a b a c", "a b", "b b c", "d a b"], [True, True, True, False])
+    n, v = int(words.sum()), int((words > 0).sum())
+    unknown = backoff_lm.ADD / (n + backoff_lm.ADD * (v + 1))
+    seen = np.flatnonzero(words > 0)
+    for state in sorted({0, model.start_state, *model.arc_target.tolist(), *model.root_target.tolist()}):
+        weights, _ = model.step(np.full(len(seen), state), seen)
+        share, at = unknown, state
+        while at:
+            share *= 10 ** model.fail_weight[at]
+            at = model.fail_state[at]
+        assert abs((10**weights).sum() + share - 1) < 1e-9
+
+
+def test_lanes_do_not_change_scores():
+    rng = random.Random(8)
+    docs = [" ".join(rng.choices("abcdef", k=rng.choice([0, 1, 2, 3, 50, 400]))) for _ in range(40)]
+    block, model, _ = automaton(docs, [k % 3 > 0 for k in range(40)])
+    want = model.traverse(block, 1 << 20)
+    for lane in (1, 2, 3, 7, 64):
+        assert np.allclose(model.traverse(block, lane), want)
+
+
+def test_keys_of_ngrams_are_packed():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 500):
+        keys = np.sort(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+        assert backoff_lm.unpack_keys(backoff_lm.pack_keys(keys)).tolist() == keys.tolist()
+        counts = rng.integers(0, 1 << rng.integers(1, 40), n)
+        assert backoff_lm._unsmall(backoff_lm._small(counts)).tolist() == counts.tolist()

@@ -63,6 +63,15 @@ def word_hashes(text: str) -> np.ndarray:
     return hashes
 
 
+def numbered(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words, tokens as numbers of words); frequent words have small numbers, which take little room."""
+    words, tokens, n = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return words[order], rank[tokens]
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
@@ -70,7 +79,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Tokens of some texts as numbers of the distinct words, which ascend by hash; the n-grams among them.
+    """Tokens of some texts as numbers of the distinct words, the most frequent first; the n-grams among them.
 
     Word `len(words)` stands for the start of a text.  The n-grams are
     enumerated in the order of (context, word); a context of two words is the
@@ -94,8 +103,7 @@ class Block:
     @classmethod
     def of(cls, texts: list[str]) -> Block:
         hashes = [word_hashes(x) for x in texts]
-        words, tokens = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_inverse=True)
-        return cls(words, tokens, np.array([len(x) for x in hashes], np.int64))
+        return cls(*numbered(hashes), np.array([len(x) for x in hashes], np.int64))
 
     def keys(self) -> np.ndarray:
         """56-bit keys of words, pairs and triples, one after another; their lowest two bits are the order."""
@@ -126,7 +134,7 @@ class BackoffAutomaton:
         self.size, self.start_state = size, 1 + block.start if starts else 0
         # Words as contexts; a text's end is the context of nothing. Pairs likewise.
         in_context = np.append(of_word, starts)
-        in_context[np.searchsorted(block.words, END) if n else []] = 0
+        in_context[:n][block.words == END] = 0
         pair_context = np.where(in_context[last] > 0, of_pair, 0)
         root = (of_word + add) / (tokens + add * (distinct + 1))
         self.root_weight = np.log10(root)
@@ -200,13 +208,16 @@ def _pair_of(block: Block, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Numbers of at least 0 in as few bytes each as the greatest needs; the first byte says how many."""
-    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """Numbers of at least 0 in as few bytes each as the greatest needs, all lowest bytes first; the first byte says how many."""
+    width = -(-int(x.max()).bit_length() // 8) or 1 if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _unsmall(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    x = np.zeros((planes.shape[1], 8), np.uint8)
+    x[:, : data[0]] = planes.T
+    return x.view("<i8").ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -320,7 +331,7 @@ def _blocks(docs: DataFrame, train, id_column: str, text_column: str, block_char
         held = 0
 
         def close() -> pa.RecordBatch:
-            words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+            words, tokens = numbered(hashes)
             lengths = np.array([len(x) for x in hashes], np.int64)
             return common.record(schema, [[task], [place], [ids], [words.astype("<u8").tobytes()], [_small(tokens)], [_small(lengths)], [np.array(teach, np.uint8).tobytes()]])
 

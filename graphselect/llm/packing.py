@@ -63,7 +63,7 @@ def pack(lengths: list[int], window: int = WINDOW, shortest: int = SHORTEST) ->
     def take(gap: int, below: int) -> tuple[int, int, int] | None:
         """The longest piece of at most gap ids in tiers up to `below`."""
         for t in tiers:
-            if t <= below and t // 2 < gap and routed[t]:
+            if t <= below and (t // 2 < gap or t == shortest) and routed[t]:  # the shortest tier has pieces of any length up to it
                 k = bisect.bisect_right(routed[t], (gap, 1 << 62, 0)) - 1
                 if k >= 0:
                     return routed[t].pop(k)
@@ -124,7 +124,9 @@ def step_groups(windows: list, window: int = WINDOW, step_windows: int = STEP_WI
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int | None = END_ID, window: int = WINDOW, shortest: int = SHORTEST, step_windows: int = STEP_WINDOWS, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group and, with with_ids, ids.
 
-    Null texts count as empty (their end id is packed); null ids are kept; a document that appears twice is packed twice.
+    Null texts count as empty (their end id is packed); null ids are kept; a
+    document that appears twice is packed twice; an empty table gives no row.
+    Pieces of equal length are taken in the order of the documents in their task.
     """
     common.short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))

@@ -87,6 +87,12 @@ def test_packing_loses_nothing_and_pads_nothing(seed):
         assert len(set(own)) == 1 and sum(own) <= packing.STEP_WINDOWS * 2048
 
 
+def test_short_gaps_are_filled():
+    assert [(size, len(pieces)) for size, pieces in packing.pack([2040, 5, 3])] == [(2048, 3)]
+    assert [(size, len(pieces)) for size, pieces in packing.pack([1] * 64)] == [(64, 64)]
+    assert [(size, len(pieces)) for size, pieces in packing.pack([60, 3, 1, 2047, 1])] == [(2048, 2), (64, 3)]
+
+
 def test_simhash_of_a_text():
     for text in texts(60):
         words = WORDS.findall(lower(text))

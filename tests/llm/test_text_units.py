@@ -181,11 +181,63 @@ def test_main_text():
 
 def test_licenses():
     index = licenses.Index()
-    text = "Some é words. " + licenses.TEMPLATES["mit"].replace("any person", "any nice person").replace("without limitation ", "") + " Released under the MIT license. end"
+    grant = licenses.TEMPLATES["mit-grant"]
+    text = "Some é words. " + grant.replace("any person", "any nice person").replace("without limitation ", "") + " Released under the MIT license. end"
     found = index.scan(text)
-    assert [m[0] for m in found] == ["mit", "mit-notice"] and found[0][1] > 0.9
+    assert [m[0] for m in found] == ["mit-grant", "mit-notice"] and found[0][1] > 0.9
     assert text[found[0][3] : found[0][4]].startswith("Permission is") and text[found[1][3] : found[1][4]] == "Released under the MIT license"
     assert index.scan("") == [] and index.scan("the software is fine " * 20) == []
+    for name, template in licenses.TEMPLATES.items():
+        assert [(m[0], m[1]) for m in index.scan(f"Before it. {template} After it.")] == [(name, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["mit-notice", "cc-by-nc-4.0", "apache-2.0-short", "gpl-3-notice", "mpl-2.0", "spdx:Zlib"])
+@pytest.mark.parametrize("apart", [0, 1, 2, 3, 4, 5, 8, 13, 20])
+def test_repeated_notices_are_all_found(name, apart):
+    text = (licenses.TEMPLATES[name] + " " + "filler " * apart) * 7
+    assert [(m[0], m[1]) for m in licenses.Index().scan(text)] == [(name, 1.0)] * 7
+    if apart == 0:
+        assert len(licenses.Index().scan(text * 100)) == 700
+
+
+def plain_matches(index, words, t):
+    """Word counts of the best local alignments of all of words and a template, one after another, what is spanned being masked."""
+    codes, template = [index.code_of.get(w, 0) for w in words], index.templates[t].tolist()
+    out = []
+    while True:
+        n, m = len(codes), len(template)
+        score, best = [[0] * (m + 1) for _ in range(n + 1)], (0, 0, 0)
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                score[i][j] = max(0, score[i - 1][j - 1] + (2 if codes[i - 1] == template[j - 1] else -2), score[i - 1][j] - 1, score[i][j - 1] - 1)
+                best = max(best, (score[i][j], -j, -i))
+        i, j, equal, last = -best[2], -best[1], 0, -best[2]
+        while score[i][j]:
+            if score[i][j] == score[i - 1][j - 1] + (2 if codes[i - 1] == template[j - 1] else -2):
+                equal += codes[i - 1] == template[j - 1]
+                i, j = i - 1, j - 1
+            elif score[i][j] == score[i][j - 1] - 1:
+                j -= 1
+            else:
+                i -= 1
+        if equal < index.coverage * m:
+            return sorted(out)
+        out.append(equal)
+        codes[i:last] = [0] * (last - i)
+
+
+def test_alignments_are_those_of_plain_local_alignment():
+    rng = random.Random(6)
+    for name in ("gpl-3-notice", "cc-by-4.0-notice", "mit-notice"):
+        index = licenses.Index({name: licenses.TEMPLATES[name]})
+        for _ in range(12):
+            words = []
+            for _ in range(rng.randint(1, 4)):
+                copy = licenses.WORD.findall(licenses.lowered(licenses.TEMPLATES[name]))
+                if rng.random() < 0.6:  # an edit that leaves a run of four words in place
+                    copy[rng.randrange(len(copy)) if len(copy) > 8 else -1] = "other"
+                words += copy + ["filler"] * rng.choice([0, 0, 1, 3, 7, 20])
+            assert sorted(m[2] for m in index.scan(" ".join(words))) == plain_matches(index, words, 0)
 
 
 def test_phrases_depend_on_the_text_only():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..tables import discard, new_folder, written
 
-__all__ = ["crc_of_id", "discard", "new_folder", "nonempty", "record", "short_batches", "shuffle_partitions", "strings", "table", "text_bytes", "written"]
+__all__ = ["crc_of_id", "discard", "fresh_names", "new_folder", "nonempty", "record", "short_batches", "shuffle_partitions", "strings", "table", "text_bytes", "written"]
 
 #: Rows and bytes of one Arrow batch sent to Python: texts have no length bound, so both are kept small.
 BATCH_ROWS = 512
@@ -52,3 +52,14 @@ def nonempty(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def crc_of_id(column: str = "doc_id"):
     """crc32 of doc_id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Each of names, with underscores before it until no column of df has that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

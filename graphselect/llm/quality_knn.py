@@ -102,13 +102,21 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(texts), ROWS):
             cosine = rows[a : a + ROWS] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             w = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 4
             # A pinch of the prior decides where no neighbour is similar at all.
             out[a : a + ROWS] = ((w * self.labels[near]).sum(axis=1) + 1e-3 * self.prior) / (w.sum(axis=1) + 1e-3)
         return out.clip(0, 1)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest numbers of each row, in no order; of equal ones the first columns."""
+    least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = cosine > least, cosine == least
+    take = above | equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))
+    return np.nonzero(take)[1].reshape(len(cosine), k)
+
+
 def weights(terms: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Weighted terms: words and shapes have a length of their own each, so that neither drowns the other."""
     w = np.log1p(n) * idf[terms]
@@ -149,12 +157,18 @@ def fit(counted: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Mode
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, where=None) -> DataFrame:
-    """(doc_id, text, quality) of at most `sample` labelled rows: those whose ids hash lowest, so the choice is spread and repeatable."""
+    """(doc_id, text, quality) of at most `sample` labelled rows of docs: those whose ids hash lowest, so the choice is spread and repeatable.
+
+    An id that is labelled more than once has its best label; of an id's texts
+    the least is taken.  Only ids are compared before the choice, and only the
+    texts chosen are moved.
+    """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     if where is not None:
         known = known.where(where)
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
+    there = docs.where("text is not null").select("doc_id")
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where=None) -> Model:
@@ -173,7 +187,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where=
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """docs with score and predicted, under these names; null texts count as empty. Columns of these names in docs are replaced."""
+    """docs with score and predicted, under these names; columns of these names in docs are replaced.
+
+    Null and empty texts have the share of good rows among the labelled ones as
+    score; neighbours that are as near as the last one vote if their ids are
+    smaller; equal texts have equal scores; an empty table gives no row.
+    """
     spark = docs.sparkSession
     common.short_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most SAMPLE x DIMENSIONS and TERMS x DIMENSIONS numbers

@@ -219,12 +219,13 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def one_of_each(docs: DataFrame, rows: DataFrame, found: DataFrame, fp_of: Callable[[str], int]) -> DataFrame:
     """As one_of_each_group: rows(doc_id, fp) of docs, found as of placed_components, and the function from texts to fps."""
-    schema, at = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]), docs.columns.index("text")
+    fp, root = common.fresh_names(docs, "_fp", "_root")
+    schema, at = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]), docs.columns.index("text")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in common.nonempty(batches):
             fps = [fp_of(x) for x in common.strings(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, fp])
 
     named = rows.where("doc_id is not null").join(found, "fp")
     placed = common.written(named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "placed")
@@ -233,15 +234,15 @@ def one_of_each(docs: DataFrame, rows: DataFrame, found: DataFrame, fp_of: Calla
     repeated = placed.where("n > 1").select("doc_id")
     if not repeated.isEmpty():
         # Texts of one id may be in several components: which of its rows stay is told by their fps.
-        first = named.where("doc_id = component_id").join(repeated, "doc_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("row")).select("row.doc_id", F.col("row.fp").alias("_fp"))
+        first = named.where("doc_id = component_id").join(repeated, "doc_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("row")).select("row.doc_id", F.col("row.fp").alias(fp))
         several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).mapInArrow(run, schema)
-        kept = kept.unionByName(several.join(first, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"]).select(*docs.columns))
+        kept = kept.unionByName(several.join(first, ["doc_id", fp], "left_semi").dropDuplicates(["doc_id", fp]).select(*docs.columns))
     if rows.where("doc_id is null").isEmpty():
         return kept
     nameless = docs.where("doc_id is null")
     marked = nameless.mapInArrow(run, schema)
-    lone = found.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    return kept.unionByName(marked.join(lone, "_fp").dropDuplicates(["_root"]).select(*docs.columns))
+    lone = found.where("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root))
+    return kept.unionByName(marked.join(lone, fp).dropDuplicates([root]).select(*docs.columns))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

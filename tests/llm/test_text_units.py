@@ -169,6 +169,23 @@ def test_neighbours_vote():
     assert empty.scores(["x", ""]).tolist() == [0.5, 0.5]
 
 
+def test_votes_are_those_of_plain_loops():
+    rng = np.random.default_rng(9)
+    words = ["Good.", "fine", "BAD!!", "###", "text,", "x1", "Ü."]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(70)]
+    labels = rng.integers(0, 2, 50).tolist()
+    model = quality_knn.fit([quality_knn.term_counts(x) for x in texts[:50]], labels)
+    rows = model.rows([quality_knn.term_counts(x) for x in texts])
+    for text, row, score in zip(texts, rows, model.scores(texts)):
+        cosine = rows[:0] @ model.vectors.T if not len(row) else (row[None] @ model.vectors.T)[0]
+        near = sorted(range(50), key=lambda k: (-cosine[k], k))[: quality_knn.NEIGHBOURS]
+        votes = [(max(0.0, float(cosine[k])) ** 4, labels[k]) for k in near]
+        want = (sum(w * y for w, y in votes) + 1e-3 * model.prior) / (sum(w for w, _ in votes) + 1e-3)
+        assert abs(score - want) < 1e-5
+    ties = np.array([[1.0, 2.0, 1.0, 1.0, 0.0], [3.0, 3.0, 3.0, 3.0, 3.0]])
+    assert quality_knn.nearest(ties, 3).tolist() == [[0, 1, 2], [0, 1, 2]]
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="home"><header><h1>Site</h1></header><nav><a href=x>one</a></nav>
     <div class="cookie-notice">We use cookies on this site, and you agree to it all.</div><article><h1>Title &amp; more</h1><p><b>First<br><p>Second  line of

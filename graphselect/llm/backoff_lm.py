@@ -286,9 +286,8 @@ def _totals(parts: DataFrame, owners: int, span: int, fan: int) -> DataFrame:
         columns = [owners, [low] * len(owners), [*(_small(n[x]) for x in at), None], *([None] * len(at) + [x] for x in totals)]
         return pa.Table.from_batches([common.record(schema, columns)])
 
-    spread = common.shuffle_partitions(spark)
     groups = (1 << KEY_BITS) // span * -(-owners // fan)
-    tasks = max(spread, -(-groups // 16))
+    tasks = max(common.shuffle_partitions(spark), -(-groups // 16))
     if owners <= fan:
         return parts.repartition(tasks, "low").groupBy("low").applyInArrow(answer, types)
     # More owners than one task should meet: groups of them become the owners of narrower ranges.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..tables import discard, new_folder, written
 
-__all__ = ["crc_of_id", "discard", "fresh_names", "new_folder", "nonempty", "record", "short_batches", "shuffle_partitions", "strings", "table", "text_bytes", "written"]
+__all__ = ["crc_of_id", "discard", "fresh_names", "in_id_order", "new_folder", "nonempty", "partitions_for", "record", "short_batches", "shuffle_partitions", "strings", "table", "written"]
 
 #: Rows and bytes of one Arrow batch sent to Python: texts have no length bound, so both are kept small.
 BATCH_ROWS = 512
@@ -31,9 +31,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_bytes(docs: DataFrame, column: str = "text") -> int:
-    """UTF-8 bytes of all texts; one pass over one column."""
-    return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+#: Bytes of a table, as the planner estimates them, for each partition of an exchange of texts.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for an exchange of all of df: spark.sql.shuffle.partitions at least, more if it reads large tables; nothing is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(n for n in sizes if n < 1 << 60)  # what is no file has no size
+    return max(shuffle_partitions(df.sparkSession), min(1 << 17, known // PARTITION_BYTES))
+
+
+def in_id_order(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, text), ranged and sorted by id: null ids first, equal ids in the order of their texts' hashes.
+
+    Rows that are equal in both are told apart by where they stand, so ranges
+    split even what is repeated without end.
+    """
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
+    numbered = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    return numbered.repartitionByRange(partitions_for(rows), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:

@@ -19,8 +19,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,76 +174,79 @@ def fingerprint_documents(docs: DataFrame, id_column: str = "doc_id", text_colum
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, bucket, role): documents in buckets by ranges of ids, each bucket with the first row of the next as a guest.
+_TYPES = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = [x.split()[0] for x in _TYPES.split(", ")]
+_SCHEMA = pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for c, t in (x.split() for x in _TYPES.split(", "))])
+#: Rows of a task's output: a result, and its first and its last text, which stand beside those of other tasks.
+RESULT, FIRST, LAST = 0, 1, 2
 
-    role is 0 for a bucket's own rows and 1 for its guest; the last bucket's
-    guest is the first row of all.  Ids are cut at quantiles, one bucket for
-    each shuffle partition, and texts are moved once.  Null ids come first.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = common.shuffle_partitions(spark)
-    bounds = rows.where("doc_id is not null").select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
-    edges = np.unique(np.array(bounds, np.float64).astype(np.int64))
-
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(edges, ids.fillna(0).to_numpy(np.int64), "right")).astype(np.int32))
-
-    placed = rows.withColumn("bucket", bucket("doc_id"))
-    # The first id of each bucket that has rows: no more numbers than shuffle partitions.
-    firsts = placed.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls"))
-    firsts = sorted((r["bucket"], None if r["nulls"] else r["first"]) for r in firsts.collect())
-    plan = spark.createDataFrame([(own, first, firsts[k - 1][0]) for k, (own, first) in enumerate(firsts)], "bucket int, first long, before int")
-    own = F.struct(F.col("bucket"), F.lit(0).alias("role"))
-    guest = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("role"))
-    roles = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(own, guest)).otherwise(F.array(own))
-    return placed.join(F.broadcast(plan), "bucket").select("doc_id", "text", F.explode(roles).alias("at")).select("doc_id", "text", "at.bucket", "at.role")
+
+def _compared(ids: list, texts: list[str], afters: list[str]) -> list:
+    """Columns of the result for texts and what comes after each."""
+    m = len(texts)
+    edited = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in zip(texts, afters, strict=True)]
+    follows = all(a is b for a, b in zip(texts[1:], afters))
+    every = texts + afters[-1:] + edited if follows else texts + afters + edited
+    whole, sketch = fingerprints(every)
+    prints = as_strings(whole, sketch)
+    after = slice(1, m + 1) if follows else slice(m, 2 * m)
+    edit = slice(len(every) - m, len(every))
+    near_edited, near_next = (np.where(whole[:m] == whole[x], 1.0, likeness(sketch[:m], sketch[x])) for x in (edit, after))
+    sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited]
+    return [ids, [len(x) for x in texts], sha, prints[:m], prints[edit], near_edited, near_next]
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """Each text's fingerprint beside those of its edited text and of the next document.
+    """Each text's fingerprint beside those of its edited text and of the next document: one row for each row of docs.
 
     The edited text has the last half of its code points replaced by the first
-    as many of the next document, in ascending order of ids (equal ids in the
-    order of their texts); after the last document comes the first.
+    as many of the next document, in ascending order of ids; null ids come
+    first, equal ids in the order of their texts' hashes, and after the last
+    document comes the first.  Null texts count as empty, and two empty texts
+    are alike; an empty table gives no row.
+
+    Texts are moved once, by ranges that split even rows that are all equal.
+    What stands at the ends of the ranges, two texts for each, meets by a join.
     """
-    common.short_batches(docs.sparkSession)
-    n = common.shuffle_partitions(docs.sparkSession)
-    rows = with_next(docs).repartitionById(n, "bucket").sortWithinPartitions("role", "doc_id", "text")
-    types = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    schema = pa.schema([(x.split()[0], k) for x, k in zip(types.split(", "), kinds)])
+    spark = docs.sparkSession
+    common.short_batches(spark)
+    rows = common.in_id_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    schema = pa.schema([*_SCHEMA, pa.field("kind", pa.int32()), pa.field("part", pa.int64()), pa.field("text", pa.string())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+
+        def edge(kind: int) -> pa.RecordBatch:
+            return common.record(schema, [ids[-1:], *([None] for _ in _COLUMNS[1:]), [kind], [part], texts[-1:]])
+
         ids: list = []
         texts: list[str] = []
-        guest = False
+        begun = False
         for batch in common.nonempty(batches):
-            if guest:  # only more rows of the guest's id follow
-                continue
-            for name, text, role in zip(batch.column(0).to_pylist(), common.strings(batch.column(1)), batch.column(3).to_pylist()):
+            for name, text in zip(batch.column(0).to_pylist(), common.strings(batch.column(1))):
                 ids.append(name)
                 texts.append(text)
-                if role:
-                    guest = True
-                    break
+                if not begun:
+                    begun = True
+                    yield edge(FIRST)
             if len(texts) > 1:
-                yield compared(ids, texts)
+                m = len(texts) - 1
+                yield common.record(schema, [*_compared(ids[:-1], texts[:-1], texts[1:]), [RESULT] * m, [part] * m, [None] * m])
                 ids, texts = ids[-1:], texts[-1:]  # it still waits for what comes after it
+        if texts:
+            yield edge(LAST)
+
+    held = common.written(rows.mapInArrow(run, _TYPES + ", kind int, part long, text string"), "prints", "zstd")
+    parts = sorted(r["part"] for r in held.where(F.col("kind") == FIRST).select("part").collect())  # one number for each range
+    plan = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part long, after long")
+    firsts = held.where(F.col("kind") == FIRST).select(F.col("part").alias("after"), F.col("text").alias("next"))
+    ends = held.where(F.col("kind") == LAST).select("part", "doc_id", "text").join(F.broadcast(plan), "part").join(firsts, "after").select("doc_id", "text", "next")
+
+    def meet(batches) -> Iterator[pa.RecordBatch]:
+        for batch in common.nonempty(batches):
+            yield common.record(_SCHEMA, _compared(batch.column(0).to_pylist(), common.strings(batch.column(1)), common.strings(batch.column(2))))
 
-    def compared(ids: list, texts: list[str]) -> pa.RecordBatch:
-        edited = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in zip(texts, texts[1:])]
-        whole, sketch = fingerprints(texts + edited)
-        k, m = len(texts), len(edited)
-        prints = as_strings(whole, sketch)
-        near_edited = np.where(whole[:m] == whole[k:], 1.0, likeness(sketch[:m], sketch[k:]))
-        near_next = np.where(whole[:m] == whole[1:k], 1.0, likeness(sketch[:m], sketch[1:k]))
-        sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited]
-        return common.record(schema, [ids[:m], [len(x) for x in texts[:m]], sha, prints[:m], prints[k:], near_edited, near_next])
-
-    return rows.mapInArrow(run, types)
+    return held.where(F.col("kind") == RESULT).select(*_COLUMNS).union(ends.mapInArrow(meet, _TYPES))
 
 
 def op9_phrase_prints(spark, sf_dir: str) -> DataFrame:

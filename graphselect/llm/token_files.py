@@ -13,7 +13,7 @@ first: ids before it in its part) that
 Spark's own committer writes: a task that is repeated, or an executor that is
 lost, leaves no half-written segment behind, and any store that Spark can
 write to will do.  A payload is self-contained; `export_files` puts payloads
-into plain files.
+into plain files on the machine that calls it.
 """
 
 from __future__ import annotations
@@ -133,13 +133,14 @@ class Segment:
 
 
 def token_segments(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int | None = END_ID, id_column: str = "doc_id", text_column: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
-    """Segments of all documents in ascending id order (null ids first, equal ids in the order of their texts).
+    """Segments of all documents in ascending id order (null ids first, equal ids in the order of their texts' hashes).
 
-    One range exchange; a task holds one segment at a time.
+    Null texts count as empty; rows that repeat an id, or all of a row, are
+    documents of their own; an empty table has no segment.  One range exchange,
+    which splits even rows that are all equal; a task holds one segment at a time.
     """
     common.short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -164,7 +165,7 @@ def token_segments(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int | No
         if names:
             yield close()
 
-    return rows.select("doc_id", "text").mapInArrow(run, "part int, segment int, first long, n_docs long, n_tokens long, payload binary")
+    return common.in_id_order(rows).mapInArrow(run, "part int, segment int, first long, n_docs long, n_tokens long, payload binary")
 
 
 def write_token_files(docs: DataFrame, path: str, **options) -> None:

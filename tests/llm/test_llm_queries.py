@@ -1,5 +1,6 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
 
+import hashlib
 import math
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphselect.llm import backoff_lm, components, html_density, licenses, line_crf, packing, phrase_prints, quality_knn, sentencepiece_codec, simhash, token_files
+from graphselect.llm import backoff_lm, common, components, html_density, licenses, line_crf, packing, phrase_prints, quality_knn, sentencepiece_codec, simhash, token_files
 
 RNG = random.Random(4)
 GOOD = " ".join("".join(RNG.choices("ba ce di fo gu ha je ki lo mu na pe".split(), k=RNG.randint(1, 4))) + ("." if k % 9 == 0 else "") for k in range(120)) + "."
@@ -126,17 +127,33 @@ def test_language_model(docs, fan):
     assert {r["train_tokens"] for r in found} == {n}
 
 
-def test_next_document(docs):
-    found = phrase_prints.compare_edited(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).orderBy("doc_id").collect()
-    by = {i: t or "" for i, t, *_ in ROWS if i is not None}
-    order = sorted(by)
-    import hashlib
-
-    for k, r in enumerate(found):
-        text, after = by[order[k]], by[order[(k + 1) % len(order)]]
-        h = len(text) // 2
-        assert r["edited_sha256"] == hashlib.sha256((text[: len(text) - h] + after[:h]).encode()).hexdigest()
-    assert found[2]["near_next"] == 1.0 and found[2]["fingerprint"] == found[3]["fingerprint"]
+@pytest.mark.parametrize("which", ["ids", "all", "one"])
+def test_next_document(spark, docs, which):
+    given = {"ids": docs.where("doc_id is not null").dropDuplicates(["doc_id"]), "all": docs, "one": docs.where("doc_id = 1")}[which]
+    rows = [(r["doc_id"], r["text"] or "") for r in given.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()]
+    want = []
+    for k, (i, text) in enumerate(rows):
+        after, h = rows[(k + 1) % len(rows)][1], len(text) // 2
+        edited = text[: len(text) - h] + after[:h]
+        a, b, c = phrase_prints.as_strings(*phrase_prints.fingerprints([text, edited, after]))
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, phrase_prints.near(a, b), phrase_prints.near(a, c)))
+    key = lambda r: (r[0] is not None, *(str(x) for x in r))
+    assert sorted(map(tuple, phrase_prints.compare_edited(given).collect()), key=key) == sorted(want, key=key)
+
+
+def test_ranges_split_what_repeats(spark):
+    """Half of the rows share an id and a text, a quarter has no id; no range has much more than its share."""
+    rows = [(1, "same") if k % 2 else (None, f"t{k % 7}") if k % 4 else (k, f"text {k}") for k in range(4000)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        sizes = [r["count"] for r in common.in_id_order(given).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
+        assert sum(sizes) == 4000 and len(sizes) == 8 and max(sizes) < 1000
+        blocks = backoff_lm._blocks(given, F.lit(True), "doc_id", "text", 1 << 20).groupBy("task").count().collect()
+        assert len(blocks) == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_pipeline(spark, docs, labels, tmp_path):

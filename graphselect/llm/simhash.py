@@ -52,7 +52,10 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of the shingles of words of a text; 0 if it has no word."""
-    hashes = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _POSITION).ravel(), minlength=2048).reshape(8, 256) @ _BITS
@@ -94,10 +97,15 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
+def _quarters(fps: np.ndarray) -> np.ndarray:
+    """Population counts of the four quarters of each fingerprint."""
+    return np.bitwise_count(fps.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+
+
 def _ordered(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """fps in the order of their quarters' population counts, and each block's least and greatest counts."""
     fps = fps.astype(np.int64).view(np.uint64)
-    quarters = np.bitwise_count(fps.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    quarters = _quarters(fps)
     order = np.lexsort((*quarters.T[::-1], quarters.sum(axis=1)))
     fps, quarters = fps[order], quarters[order]
     starts = np.arange(0, len(fps), BLOCK)
@@ -130,6 +138,61 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tup
     return all_fps[leaves].view(np.int64), all_fps[roots[leaves]].view(np.int64)
 
 
+def _thinned(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the edges (i, j) of a spanning forest of 0..n-1 with the least distances d."""
+    forest, chosen = Forest(n), []
+    for step in np.unique(d):
+        at = np.flatnonzero(d == step)
+        while len(at):
+            a, b = forest.find(i[at]), forest.find(j[at])
+            at = at[a != b]
+            # Every root takes one edge to a smaller root: such edges close no circle.
+            low, high = np.minimum(forest.find(i[at]), forest.find(j[at])), np.maximum(forest.find(i[at]), forest.find(j[at]))
+            _, first = np.unique(high, return_index=True)
+            chosen.append(at[first])
+            forest.link(low[first], high[first])
+    return np.concatenate([*chosen, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def closest_links(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None, radius: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """As tile_links for (fingerprints, names), of which fingerprints may repeat: pairs of names, from a spanning forest with the least distances.
+
+    At most about `most` pairs are held at once; a forest of forests is a forest of all.
+    """
+    def arranged(fps: np.ndarray, names: np.ndarray) -> tuple:
+        order = np.argsort(fps, kind="stable")
+        fps, names = fps[order], names[order]
+        _, starts, low, high = _ordered(fps)
+        place = np.lexsort((*_quarters(fps).T[::-1], _quarters(fps).sum(axis=1)))
+        return fps[place].astype(np.int64).view(np.uint64), names[place], starts, low, high
+
+    fa, na, sa, low_a, high_a = arranged(*a)
+    fb, nb, sb, low_b, high_b = (fa, na, sa, low_a, high_a) if b is None else arranged(*b)
+    names, shift = (na, 0) if b is None else (np.concatenate([na, nb]), len(na))
+    held, n = [np.zeros((3, 0), np.int64)], 0
+    for k, start in enumerate(sa.tolist()):
+        apart = np.maximum(np.maximum(low_a[k] - high_b, low_b - high_a[k]), 0).sum(axis=1)
+        near = np.flatnonzero(apart <= radius)
+        if b is None:
+            near = near[near >= k]
+        rows = fa[start : start + BLOCK, None]
+        for m in near.tolist():
+            bits = np.bitwise_count(rows ^ fb[None, sb[m] : sb[m] + BLOCK])
+            i, j = np.nonzero(bits <= radius)
+            if b is None and m == k:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                held.append(np.stack([i + start, j + sb[m] + shift, bits[i, j].astype(np.int64)]))
+                n += len(i)
+        if n > most:
+            edges = np.concatenate(held, axis=1)
+            held = [edges[:, _thinned(len(names), *edges)]]
+            n = 0
+    edges = np.concatenate(held, axis=1)
+    edges = edges[:, _thinned(len(names), *edges)]
+    return names[edges[0]], names[edges[1]]
+
+
 def _tiles(counts: dict[int, int], size: int, radius: int) -> list[tuple[int, int, int, int, int]]:
     """For each population count: (count, first tile, tiles, first and last tile that its tiles meet); small counts share a tile."""
     groups: list[list[int]] = []  # members
@@ -155,22 +218,33 @@ def _tiles(counts: dict[int, int], size: int, radius: int) -> list[tuple[int, in
 
 def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """distinct(fp long), without repetition -> links (u, v) that connect what pairs within the radius connect."""
-    spark = distinct.sparkSession
-    counted = distinct.select("fp", F.bit_count("fp").alias("ones"))
+    return _tiled(distinct.select("fp", F.col("fp").alias("name")), radius, lambda a, b: tile_links(a[0], None if b is None else b[0], radius))
+
+
+def closest_near_links(named: DataFrame, radius: int) -> DataFrame:
+    """named(fp long, name long), without repetition of names -> links (u, v) of names: in each two tiles a spanning forest, the closest pairs first."""
+    return _tiled(named, radius, lambda a, b: closest_links(a, b, radius))
+
+
+def _tiled(named: DataFrame, radius: int, links: Callable) -> DataFrame:
+    spark = named.sparkSession
+    counted = named.select("fp", "name", F.bit_count("fp").alias("ones"))
     counts = {r["ones"]: r["n"] for r in counted.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     size = max(TILE[0], min(TILE[1], sum(counts.values()) // common.shuffle_partitions(spark)))
     plan = spark.createDataFrame(_tiles(counts, size, radius), "ones int, first int, n int, low int, high int")
-    tiled = counted.join(F.broadcast(plan), "ones").withColumn("tile", F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    tiles = tiled.groupBy("tile").agg(F.collect_list("fp").alias("fps"), F.first("low").alias("low"), F.first("high").alias("high"))
-    met = tiles.withColumn("other", F.explode(F.sequence("low", "high"))).select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "fps")
+    tiled = counted.join(F.broadcast(plan), "ones").withColumn("tile", F.col("first") + F.pmod(F.xxhash64("name"), F.col("n")).cast("int"))
+    # Of each row its two numbers, so that they stay beside each other.
+    tiles = tiled.groupBy("tile").agg(F.collect_list(F.struct("fp", "name")).alias("rows"), F.first("low").alias("low"), F.first("high").alias("high"))
+    tiles = tiles.select("tile", "low", "high", F.col("rows.fp").alias("fps"), F.col("rows.name").alias("names"))
+    met = tiles.withColumn("other", F.explode(F.sequence("low", "high"))).select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "fps", "names")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(pair: pa.Table) -> pa.Table:
-        own = {t: np.asarray(x.values) for t, x in zip(pair["tile"].to_pylist(), pair["fps"])}
+        own = {t: (np.asarray(x.values), np.asarray(y.values)) for t, x, y in zip(pair["tile"].to_pylist(), pair["fps"], pair["names"])}
         a, b = pair["a"][0].as_py(), pair["b"][0].as_py()
         if a not in own or b not in own:  # the other tile is empty
             return schema.empty_table()
-        return pa.Table.from_arrays([pa.array(x) for x in tile_links(own[a], own[b] if a != b else None, radius)], schema=schema)
+        return pa.Table.from_arrays([pa.array(x) for x in links(own[a], own[b] if a != b else None)], schema=schema)
 
     # A pair is little data and much work: partitions must not be merged by size.
     return met.repartition(common.shuffle_partitions(spark), "a", "b").groupBy("a", "b").applyInArrow(compare, "u long, v long")

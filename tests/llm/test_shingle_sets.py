@@ -50,26 +50,52 @@ def groups(texts):
     return pairs, root
 
 
-def test_prefixes_of_near_copies_meet():
+def test_stage_keeps_one_of_each_group(spark):
+    """Nothing goes that is in no group of near copies, and nearly all of what has a copy goes."""
     texts = given()
-    found = [shingle_sets.shingles(x) for x in texts]
-    some = np.unique(np.concatenate(found)[::7])
-    for popular in (some[:0], some):
-        meet = [set(shingle_sets.prefix(x, popular, np.arange(len(popular)) % 5).tolist()) for x in found]
-        assert all(meet[a] & meet[b] for a, b in groups(texts)[0] if len(found[a]))
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    exact = set(groups(texts)[1])
+    assert exact <= kept and len(texts) - len(kept) >= 0.9 * (len(texts) - len(exact))
 
 
-def test_stage_keeps_one_of_each_group(spark):
+def test_confirmed_pairs_are_alike(spark):
     texts = given()
-    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string").repartition(3)
-    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
-    assert kept == sorted(set(groups(texts)[1]))
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    name = {k: shingle_sets.set_name(x) for k, x in enumerate(texts)}
+    some = sorted({(name[a], name[b]) for a, b in itertools.combinations(range(0, len(texts), 3), 2) if name[a] != name[b]})
+    want = {(name[a], name[b]) for a, b in groups(texts)[0]} | {(name[b], name[a]) for a, b in groups(texts)[0]}
+    found = shingle_sets.confirmed(docs, spark.createDataFrame(some, "u long, v long")).collect()
+    assert {tuple(r) for r in found} == want & set(some)
+
+
+def test_closest_links_span_what_is_near():
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    fps = [x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for x in base for _ in range(20)]
+    fps += fps[:50]  # fingerprints may repeat
+    names = np.arange(len(fps)) * 7
+    signed = np.array(fps, np.uint64).view(np.int64)
+    for parts in (None, 300):
+        u, v = simhash.closest_links((signed[:parts], names[:parts]), None if parts is None else (signed[parts:], names[parts:]), 10, most=500)
+        pairs = itertools.combinations(range(len(fps)), 2) if parts is None else itertools.product(range(300), range(300, len(fps)))
+        forest, weight = simhash.Forest(len(fps)), 0
+        for d, a, b in sorted(((fps[a] ^ fps[b]).bit_count(), a, b) for a, b in pairs):  # Kruskal's least forest
+            a, b = forest.find(np.array([a])), forest.find(np.array([b]))
+            if d <= 10 and a[0] != b[0]:
+                forest.link(a, b)
+                weight += d
+        got = simhash.Forest(len(fps))
+        got.link(u // 7, v // 7)
+        every = np.arange(len(fps))
+        assert got.find(every).tolist() == forest.find(every).tolist()
+        assert sum((fps[a] ^ fps[b]).bit_count() for a, b in zip((u // 7).tolist(), (v // 7).tolist())) == weight
 
 
 def test_every_component_keeps_a_row_where_ids_repeat(spark):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
     rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (7, d), (7, d), (None, c)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for keep in (simhash.one_of_each_group, shingle_sets.one_of_each_near_copy):
+    for keep in (simhash.one_of_each_group, shingle_sets.one_of_each_close_copy):
         assert {tuple(r) for r in keep(docs).collect()} == {(1, a), (5, b), (7, c), (7, d)}
         assert keep(docs).count() == 4

@@ -52,7 +52,7 @@ def layered(spark: SparkSession, sf_dir: str) -> CallGraph:
     k = F.col("p_partkey")
     target = F.when(k % 10 <= 4, k - k % 10).otherwise(k - 4)
     overrides = part.where(k % 10 != 0).select(_node("part", "p_partkey").alias("src"), F.concat(F.lit("part_"), target.cast("string")).alias("dst"))
-    return CallGraph.build(reduce(DataFrame.unionByName, functions), reduce(DataFrame.union, calls), overrides)
+    return CallGraph.build(reduce(DataFrame.unionByName, functions), reduce(DataFrame.union, calls), overrides, unique=True)
 
 
 def cyclic(spark: SparkSession, sf_dir: str) -> CallGraph:
@@ -62,7 +62,7 @@ def cyclic(spark: SparkSession, sf_dir: str) -> CallGraph:
     pairs = lines.select("l_partkey", F.lead("l_partkey").over(order).alias("next")).where("next is not null").distinct()
     calls = pairs.select(_node("part", "l_partkey").alias("src"), _node("part", "next").alias("dst"), F.lit(False).alias("is_virtual"))
     nodes = calls.select(F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn("demangled_name", F.col("name"))
-    return CallGraph.build(nodes, calls, calls.select("src", "dst").limit(0))
+    return CallGraph.build(nodes, calls, calls.select("src", "dst").limit(0), unique=True)
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,20 +45,32 @@ class CallGraph:
         self.traverse_virtual_dtors = traverse_virtual_dtors
 
     @classmethod
-    def build(cls, declared: DataFrame, calls: DataFrame, overrides: DataFrame, traverse_virtual_dtors: bool = False) -> CallGraph:
-        """Tables from declared functions (any subset of FUNCTIONS' columns, with name); ends that are not declared get default rows."""
+    def build(cls, declared: DataFrame, calls: DataFrame, overrides: DataFrame, traverse_virtual_dtors: bool = False, unique: bool = False) -> CallGraph:
+        """Tables from declared functions (any subset of FUNCTIONS' columns, with name); ends that are not declared get default rows.
+
+        A function that is declared more than once, as in documents of several
+        files, is one: a flag is set if any declaration sets it, and of other
+        values the greatest is kept. unique: names don't repeat, so nothing is merged.
+        """
         calls = calls.select("src", "dst", F.coalesce("is_virtual", F.lit(False)).alias("is_virtual"))
         ends = calls.select(F.explode(F.array("src", "dst")).alias("name")).union(overrides.select(F.explode(F.array("src", "dst")).alias("name"))).distinct()
         defaults, types = _defaults(), {f.name: f.dataType for f in FUNCTIONS}
         columns = [(F.coalesce(F.col(c).cast(types[c]), d) if c in declared.columns else d).alias(c) for c, d in defaults.items()]
         known = declared.select("name", F.lit(True).alias("known"), *columns)
+        if not unique:
+            known = known.groupBy("name").agg(*(F.max(c).alias(c) for c in known.columns if c != "name"))
         unknown = ends.join(known.select("name"), "name", "left_anti").select("name", F.lit(False).alias("known"), *(d.alias(c) for c, d in defaults.items()))
         every = known.unionByName(unknown).withColumn("is_destructor", is_destructor(F.col("name"))).select(*FUNCTIONS.names)
         return cls(every, calls, overrides.select("src", "dst"), traverse_virtual_dtors)
 
     @cached_property
     def names(self) -> DataFrame:
-        return self.functions.select("name")
+        return written(self.functions.select("name"), "names")
+
+    @cached_property
+    def direct_edges(self) -> DataFrame:
+        """(src, dst): direct calls, without repetition."""
+        return written(self.calls.select("src", "dst").distinct(), "direct")
 
     @cached_property
     def all_edges(self) -> DataFrame:

@@ -30,11 +30,20 @@ def kept_short(parts: list[DataFrame]) -> list[DataFrame]:
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    if hasattr(edges, "written_to"):
+        turned.written_to = edges.written_to
+    return turned
+
+
+def fixed(edges: DataFrame) -> DataFrame:
+    """edges as a written table: a loop would compute a plan again in each round."""
+    return edges if hasattr(edges, "written_to") else written(edges.select("src", "dst"), "edges")
 
 
 def distances(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, depth): nodes that edges(src, dst) reach from seeds(name), and the fewest steps; seeds have 0."""
+    edges = fixed(edges)
     frontier = written(seeds.select("name").distinct().withColumn("depth", F.lit(0)), "frontier")
     found, depth = [frontier], 0
     while not frontier.isEmpty():
@@ -50,21 +59,33 @@ def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return distances(seeds, edges).select("name")
 
 
-def longest_levels(seeds: DataFrame, edges: DataFrame, limit: int = 1_000_000) -> DataFrame:
+def longest_levels(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, level): nodes of an acyclic graph that edges reach, and the most steps."""
+    edges = fixed(edges)
+    _check_acyclic(seeds, edges)
     frontier = written(seeds.select("name").distinct(), "frontier")
     found, level = [], 0
     while not frontier.isEmpty():
         found.append(frontier.withColumn("level", F.lit(level)))
         level += 1
-        if level > limit:
-            raise RecursionError("the graph has a cycle")
         frontier = written(frontier.select(F.col("name").alias("src")).join(edges, "src").select(F.col("dst").alias("name")).distinct(), "frontier")
     if not found:
         return frontier.withColumn("level", F.lit(0))
     return union_all(found).groupBy("name").agg(F.max("level").alias("level"))
 
 
+def _check_acyclic(seeds: DataFrame, edges: DataFrame) -> None:
+    """Take nodes without callers away, again and again; what stays and is reached has a cycle among it."""
+    left = edges.join(reach(seeds, edges).withColumnRenamed("name", "src"), "src", "left_semi").select("src", "dst")
+    left = written(left, "left")
+    size = left.count()
+    while size:
+        left = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "left")
+        before, size = size, left.count()
+        if size == before:
+            raise RecursionError("the graph has a cycle")
+
+
 def least_cost(seed: DataFrame, edges: DataFrame, weights: DataFrame) -> DataFrame:
     """(name, cost): least sum of weights(name, weight) of the nodes on a path of edges from seed(name), the last node's own not counted.
 

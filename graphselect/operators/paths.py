@@ -48,7 +48,7 @@ def coarse(graph, names: DataFrame, critical: DataFrame | None = None) -> DataFr
     direct ones, counted with repetition.
     """
     inside = names.select("name").distinct()
-    reached = reach(roots(graph), graph.calls.select("src", "dst").distinct())
+    reached = reach(roots(graph), graph.direct_edges)
     single = graph.calls.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("caller")).where("n = 1").select(F.col("dst").alias("name"), "caller")
     if critical is not None:
         single = single.join(critical.select("name"), "name", "left_anti")

@@ -11,12 +11,14 @@ from ..functions import BEGIN_TRIGGER, END_TRIGGER, SCOPE_TRIGGER, accepted, has
 BUCKET = 1 << 16
 
 
-def last_before(probes: DataFrame, marks: DataFrame, at: str = "addr", begin: str = "addr_begin", bucket: int = BUCKET) -> DataFrame:
+def last_before(probes: DataFrame, marks: DataFrame, at: str = "addr", begin: str = "addr_begin", bucket: int = BUCKET, levels: int = 3) -> DataFrame:
     """probes with the columns of the mark whose begin is the greatest at or below `at`; null where there is none.
 
     Marks are unique by begin. Both sides are put into buckets of the ordered
     column; a window finds the last mark within a bucket, and what a bucket
-    inherits from those before it comes from the last mark of each bucket.
+    inherits from those before it comes from the last mark of each bucket, which
+    is the same question about buckets. After `levels` such steps the buckets of
+    64-bit numbers are so few that one window holds them.
     """
     own = [c for c in marks.columns if c != begin]
     mark = F.struct(F.col(begin), *own)
@@ -27,10 +29,12 @@ def last_before(probes: DataFrame, marks: DataFrame, at: str = "addr", begin: st
     # The last mark of each bucket that has one, valid up to the next such bucket.
     lasts = one.groupBy("_b").agg(F.max("_mark").alias("_mark"))
     asked = placed.select("_b").distinct()
-    order = Window.orderBy("_b", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    # One row for each bucket, far fewer than probes.
-    carried = lasts.select(F.col("_b"), F.lit(1).alias("_kind"), "_mark").union(asked.select("_b", F.lit(0).alias("_kind"), F.lit(None).cast(one.schema["_mark"].dataType)))
-    carried = carried.withColumn("_carried", F.last("_mark", ignorenulls=True).over(order)).where("_kind = 0").select("_b", "_carried")
+    if levels:
+        carried = last_before(asked.withColumn("_earlier", F.col("_b") - 1), lasts.select(F.col("_b").alias("_mark_b"), F.col("_mark").alias("_carried")), "_earlier", "_mark_b", bucket, levels - 1).select("_b", "_carried")
+    else:
+        order = Window.orderBy("_b", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        carried = lasts.select(F.col("_b"), F.lit(1).alias("_kind"), "_mark").union(asked.select("_b", F.lit(0).alias("_kind"), F.lit(None).cast(one.schema["_mark"].dataType)))
+        carried = carried.withColumn("_carried", F.last("_mark", ignorenulls=True).over(order)).where("_kind = 0").select("_b", "_carried")
     joined = placed.join(carried, "_b", "left").withColumn("_m", F.coalesce("_found", "_carried"))
     return joined.select("_probe.*", *(F.col(f"_m.{c}").alias(c) for c in (begin, *own)))
 
@@ -48,9 +52,9 @@ def resolve_addresses(events: DataFrame, mappings: DataFrame, symbols: DataFrame
 def patch_plan(patched: DataFrame, selection: DataFrame | None) -> DataFrame:
     """(fid, name, flags, is_scope, is_begin, is_end) of functions to patch: those that the selection accepts, or all without one.
 
-    patched(fid, name, ...): one row for each function is used.
+    patched(fid, name, ...): of rows with one fid the least name is used.
     """
-    functions = patched.dropDuplicates(["fid"]).select("fid", "name")
+    functions = patched.groupBy("fid").agg(F.min("name").alias("name"))
     if selection is None:
         chosen = functions.withColumn("flags", F.lit(1))
     else:

@@ -18,6 +18,8 @@ from .operators.virtual import override_closure
 from .plans import select
 from .plans.registry import exclude_list, include_list
 from .sinks import call_log, dot_lines, event_dictionary, json_filter, name_list, region_filter
+from .model import CallGraph
+from .sources import id_map, parse_dependencies, parse_memory_map, parse_symbols
 from .sources.demangle import base_name, parameter_list
 from .streaming import begin_end_gate, call_depth, recorded_trace, region_events, scope_gate
 
@@ -351,11 +353,11 @@ def _log(spark, sf_dir):
 @query(
     "region_events",
     """SELECT thread, seq, id, 'fn_' || id AS name, unnest(CASE WHEN row_number() OVER (PARTITION BY id ORDER BY seq, thread) = 1 THEN ['register', a] ELSE [a] END) AS action
-FROM (SELECT *, CASE WHEN type = 'ENTRY' THEN 'start' ELSE 'stop' END AS a FROM trace WHERE id < 30)""",
+FROM (SELECT *, CASE WHEN type = 'ENTRY' THEN 'start' ELSE 'stop' END AS a FROM trace)""",
     E,
 )
 def _regions(spark, sf_dir):
-    names = spark.range(30).select(F.col("id").cast("int").alias("fid"), F.concat(F.lit("fn_"), F.col("id").cast("string")).alias("name"))
+    names = spark.range(50).select(F.col("id").cast("int").alias("fid"), F.concat(F.lit("fn_"), F.col("id").cast("string")).alias("name"))
     return region_events(derived.trace(spark, sf_dir), names)
 
 
@@ -412,9 +414,45 @@ def _dot(spark, sf_dir):
     return dot_lines(graph, graph.names.where(full_match(F.col("name"), "(region|nation)_.*")).withColumn("flags", F.lit(1)))
 
 
+@query("merged_functions", "SELECT 'part_' || l_partkey AS name, max(l_linestatus) AS file_name, bool_or(l_returnflag = 'R') AS is_inlined FROM lineitem GROUP BY l_partkey")
+def _merged(spark, sf_dir):
+    declared = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("name"), F.col("l_linestatus").alias("file_name"), (F.col("l_returnflag") == "R").alias("is_inlined"))
+    none = spark.createDataFrame([], "src string, dst string, is_virtual boolean")
+    return CallGraph.build(declared, none, none).functions.select("name", "file_name", "is_inlined")
+
+
+@query("parsed_symbols", "SELECT 'app' AS binary, s_nationkey + 16 AS addr, max('sym_' || s_suppkey) AS name FROM supplier GROUP BY s_nationkey")
+def _parsed_symbols(spark, sf_dir):
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    lines = supplier.select(F.concat(F.lit("0000"), F.lower(F.hex(F.col("s_nationkey") + 16)), F.lit(" T sym_"), F.col("s_suppkey").cast("string")).alias("value"))
+    return parse_symbols(lines, "app")
+
+
+@query("parsed_dependencies", "SELECT '/lib/' || s_name AS path FROM supplier WHERE s_suppkey % 3 <> 0")
+def _parsed_dependencies(spark, sf_dir):
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    lines = supplier.select(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("\t"), "s_name", F.lit(" (0x7f)"))).otherwise(F.concat(F.lit("\tlib.so => /lib/"), "s_name", F.lit(" (0x7f)"))).alias("value"))
+    return parse_dependencies(lines)
+
+
+@query("parsed_memory_map", "SELECT '/lib/' || s_name AS path, s_suppkey * 4096 AS addr_begin, CAST(s_nationkey AS BIGINT) AS offset FROM supplier WHERE s_suppkey % 2 = 0")
+def _parsed_map(spark, sf_dir):
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    hexed = lambda c: F.lower(F.hex(c))
+    begin, rights = F.col("s_suppkey") * 4096, F.when(F.col("s_suppkey") % 2 == 0, " r-xp ").otherwise(" rw-p ")
+    lines = supplier.select(F.concat(hexed(begin), F.lit("-"), hexed(begin + 4096), rights, hexed(F.col("s_nationkey")), F.lit(" 08:01 77   /lib/"), "s_name").alias("value"))
+    return parse_memory_map(lines)
+
+
+@query("unique_ids", "SELECT l_orderkey % 7 AS obj_id, l_partkey AS fid, min(l_linestatus) AS name FROM lineitem GROUP BY ALL")
+def _unique_ids(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") % 7).alias("obj_id"), F.col("l_partkey").alias("fid"), F.col("l_linestatus").alias("name"))
+    return id_map(rows)
+
+
 @query("direct_ancestors", "SELECT name FROM up", L, _up("SELECT 'part_7' AS name", "calls"))
 def _direct(spark, sf_dir):
     from .operators.iterate import reach
 
     graph = derived.layered(spark, sf_dir)
-    return reach(spark.createDataFrame([("part_7",)], "name string"), reversed_edges(graph.calls.select("src", "dst").distinct()))
+    return reach(spark.createDataFrame([("part_7",)], "name string"), reversed_edges(graph.direct_edges))

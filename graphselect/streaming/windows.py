@@ -85,7 +85,9 @@ def region_events(events: DataFrame, names: DataFrame, name_limit: int = 128, fi
     known = events.join(names.select(F.col("fid").alias("id"), "name"), "id").where(F.length("name") < name_limit)
     if finished is not None:
         known = known.where(~finished)
-    first = F.row_number().over(Window.partitionBy("id").orderBy("seq", "thread")) == 1
+    # The first event of each id by partial aggregation: an id that all threads call is no one task's.
+    firsts = known.groupBy("id").agg(F.min(F.struct("seq", "thread")).alias("_at"))
     action = F.when(F.col("type") == "ENTRY", "start").otherwise("stop")
     actions = F.when(F.col("_first"), F.array(F.lit("register"), action)).otherwise(F.array(action))
-    return known.withColumn("_first", first).withColumn("action", F.explode(actions)).select("thread", "seq", "id", "name", "action")
+    first = F.struct("seq", "thread") == F.col("_at")
+    return known.join(firsts, "id").withColumn("_first", first).withColumn("action", F.explode(actions)).select("thread", "seq", "id", "name", "action")

@@ -17,11 +17,11 @@ from .operators.postdom import post_dominators
 from .operators.virtual import override_closure
 from .plans import select
 from .plans.registry import exclude_list, include_list
-from .sinks import call_log, dot_lines, event_dictionary, json_filter, name_list, region_filter
+from .sinks import call_log, call_tree_log, dot_lines, event_dictionary, gnu_callbacks, json_filter, name_list, region_filter, region_registrations, set_dump
 from .model import CallGraph
-from .sources import id_map, parse_dependencies, parse_memory_map, parse_symbols
+from .sources import id_map, mapped_symbols, parse_dependencies, parse_memory_map, parse_symbols, symbol_sets
 from .sources.demangle import base_name, parameter_list
-from .streaming import begin_end_gate, call_depth, recorded_trace, region_events, scope_gate
+from .streaming import begin_end_gate, call_depth, recorded_trace, region_events, scope_gate, windowed_calls, within
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -450,6 +450,86 @@ def _unique_ids(spark, sf_dir):
     return id_map(rows)
 
 
+_OPEN = "open AS (SELECT thread, min(seq) FILTER (WHERE kind = 'view') AS lo, max(seq) FILTER (WHERE kind = 'click') AS hi FROM trace GROUP BY thread)"
+
+
+@query("recorded_within", "SELECT t.thread, t.seq, t.id, t.type FROM trace t JOIN open o ON o.thread = t.thread WHERE t.seq >= o.lo AND (o.hi IS NULL OR t.seq < o.hi)", E, _OPEN)
+def _within(spark, sf_dir):
+    trace = derived.trace(spark, sf_dir)
+    intervals = trace.groupBy("thread").agg(F.min(F.when(F.col("kind") == "view", F.col("seq"))).alias("begin"), F.max(F.when(F.col("kind") == "click", F.col("seq"))).alias("end"))
+    return within(trace, intervals, "seq", "thread").select("thread", "seq", "id", "type")
+
+
+@query("windowed_calls", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, CAST(event_id % 50 AS INTEGER) AS id, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'ENTRY' ELSE 'EXIT' END AS type, count(*) AS calls FROM events GROUP BY ALL")
+def _windowed(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    type_ = F.when(F.col("event_type").isin("click", "view", "signup"), "ENTRY").otherwise("EXIT")
+    calls = windowed_calls(events.select(F.col("ts").cast("timestamp"), F.pmod("event_id", F.lit(50)).cast("int").alias("id"), type_.alias("type")), late="10 minutes")
+    return calls.select(F.date_format("begin", "yyyy-MM-dd HH").alias("hour"), "id", "type", "calls")
+
+
+_RESOLVED = "resolved AS (SELECT CAST(n AS BIGINT) AS addr, 'fn_' || n AS symbol FROM range(50) t(n) WHERE n % 7 <> 0)"
+
+
+@query(
+    "call_tree_log",
+    """SELECT d.thread, d.seq, repeat('  ', d.level - 1) || CASE WHEN d.type = 'ENTRY' THEN '[ENTER]' ELSE '[EXIT]' END || ' 0x' || printf('%x', d.id) || ' ' || coalesce(a.symbol, 'UNKNOWN') || ' (callsite: ' || coalesce(b.symbol, 'UNKNOWN') || ')' AS line
+FROM depths d LEFT JOIN resolved a ON a.addr = d.id LEFT JOIN resolved b ON b.addr = (d.id + 1) % 50 WHERE d.matched""",
+    E,
+    _RESOLVED,
+)
+def _tree_log(spark, sf_dir):
+    trace = recorded_trace(derived.trace(spark, sf_dir)).withColumn("addr", F.col("id").cast("long")).withColumn("callsite", (F.col("addr") + 1) % 50)
+    resolved = spark.range(50).where("id % 7 <> 0").select(F.col("id").alias("addr"), F.concat(F.lit("fn_"), F.col("id").cast("string")).alias("symbol"))
+    return call_tree_log(trace, resolved)
+
+
+@query("gnu_callbacks", "SELECT thread, seq, CASE WHEN type = 'ENTRY' THEN 'enter' ELSE 'exit' END AS callback, id * 16 AS addr FROM trace WHERE id % 3 <> 0", E)
+def _callbacks(spark, sf_dir):
+    patched = spark.range(50).where("id % 3 <> 0").select(F.col("id").cast("int").alias("fid"), (F.col("id") * 16).alias("addr"))
+    return gnu_callbacks(derived.trace(spark, sf_dir), patched)
+
+
+@query("region_registrations", "SELECT p_partkey * 16 AS addr, 'part_' || p_partkey AS name, p_name AS demangled FROM part WHERE p_size > 3")
+def _registrations(spark, sf_dir):
+    return region_registrations(_patched(spark, sf_dir).withColumn("addr", F.col("fid").cast("long") * 16))
+
+
+@query("set_dump", "SELECT name AS line FROM functions WHERE is_inlined", L)
+def _set_dump(spark, sf_dir):
+    return set_dump(select(derived.layered(spark, sf_dir), "hot = inline_specified(%%)  join(%hot, %hot)"), "hot")
+
+
+_BINARIES = "binaries AS (SELECT 'lib' || s_nationkey AS binary, s_suppkey AS addr, 'sym_' || s_suppkey % 100 AS name FROM supplier)"
+
+
+def _binaries(spark, sf_dir) -> DataFrame:
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return supplier.select(F.concat(F.lit("lib"), F.col("s_nationkey").cast("string")).alias("binary"), F.col("s_suppkey").alias("addr"), F.concat(F.lit("sym_"), (F.col("s_suppkey") % 100).cast("string")).alias("name"))
+
+
+@query("symbol_sets", "SELECT DISTINCT b.binary AS binary, name FROM binaries b WHERE b.binary IN ('lib1', 'lib2', 'lib3')", _BINARIES)
+def _symbol_sets(spark, sf_dir):
+    every = _binaries(spark, sf_dir)
+    return symbol_sets({b: every.where(F.col("binary") == b) for b in ("lib1", "lib2", "lib3")}, "lib1")
+
+
+@query("mapped_symbols", "SELECT b.binary AS path, CAST(n_nationkey AS BIGINT) * 4096 AS addr_begin, CAST(n_regionkey AS BIGINT) AS \"offset\", addr, b.name FROM binaries b JOIN nation ON b.binary = 'lib' || n_nationkey", _BINARIES)
+def _mapped(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    maps = nation.select(F.concat(F.lit("lib"), F.col("n_nationkey").cast("string")).alias("path"), (F.col("n_nationkey").cast("long") * 4096).alias("addr_begin"), F.col("n_regionkey").cast("long").alias("offset"))
+    return mapped_symbols(maps, _binaries(spark, sf_dir))
+
+
+@query("resolved_symbols", """SELECT e.event_id, e.event_id * 3 AS addr, m.path, b.name AS symbol FROM events e
+ASOF LEFT JOIN (SELECT CAST(n_nationkey AS BIGINT) * 97 AS addr_begin, 'lib' || n_nationkey AS path FROM nation) m ON e.event_id * 3 >= m.addr_begin LEFT JOIN binaries b ON b.binary = m.path AND b.addr = e.event_id * 3 - m.addr_begin""", _BINARIES)
+def _resolved(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    maps = nation.select(F.concat(F.lit("lib"), F.col("n_nationkey").cast("string")).alias("path"), (F.col("n_nationkey").cast("long") * 97).alias("addr_begin"), F.lit(0).cast("long").alias("offset"))
+    probes = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") * 3).alias("addr"))
+    return resolve.resolve_addresses(probes, maps, _binaries(spark, sf_dir)).select("event_id", "addr", "path", "symbol")
+
+
 @query("direct_ancestors", "SELECT name FROM up", L, _up("SELECT 'part_7' AS name", "calls"))
 def _direct(spark, sf_dir):
     from .operators.iterate import reach

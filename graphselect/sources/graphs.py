@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CallGraph
+from ..tables import written
 from .demangle import with_demangled
 
 #: Keys of the document format.
@@ -17,23 +18,31 @@ class GraphError(ValueError):
     pass
 
 
-def _entries(spark: SparkSession, path: str) -> DataFrame:
-    """(name, f) for each function of the documents at path; a document without a graph is an error."""
-    documents = spark.read.text(path, wholetext=True).select(F.from_json("value", _DOCUMENT, {"mode": "PERMISSIVE"}).alias("d"))
+def _entries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(name, f) for each function of the documents at path; a document without a graph is an error.
+
+    lines: each line that is not blank is a document, so that files split into tasks.
+    """
+    texts = spark.read.text(path, wholetext=not lines)
+    documents = (texts.where("trim(value) <> ''") if lines else texts).select(F.from_json("value", _DOCUMENT, {"mode": "PERMISSIVE"}).alias("d"))
     if documents.isEmpty() or not documents.where("d is null or d._CG is null").isEmpty():
         raise GraphError(f"no call graph in {path}")
     return documents.select(F.explode("d._CG").alias("name", "f"))
 
 
-def read_call_graph(spark: SparkSession, path: str, demangled: DataFrame | None = None, traverse_virtual_dtors: bool = False) -> CallGraph:
-    """The graph of JSON documents.
+def read_call_graph(spark: SparkSession, path: str, demangled: DataFrame | None = None, traverse_virtual_dtors: bool = False, lines: bool = False) -> CallGraph:
+    """The graph of JSON documents, or of lines that each hold one (lines).
+
+    A document is one row of one task, so a large graph should come as lines
+    of a few functions each, or as Parquet tables; parsed functions are written
+    once, and a function that several documents declare is merged.
 
     demangled(name, full): demangled signatures; without it a demangler on the
     workers is asked.  Only callees, overrides and virtual calls make edges.
     Where metadata lacks virtual calls all calls are virtual; without metadata
     none is.
     """
-    rows = _entries(spark, path).select("name", "f.*").withColumn("m", F.from_json("meta", _META))
+    rows = written(_entries(spark, path, lines).select("name", "f.*"), "documents").withColumn("m", F.from_json("meta", _META))
     if demangled is not None:
         rows = rows.join(demangled.select("name", "full"), "name", "left")
     no, text = F.lit(False), F.col("full") if demangled is not None else None

@@ -5,11 +5,17 @@ Texts are DataFrames of one column, value, such as spark.read.text gives.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+import os
+import subprocess
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hex_to_long
 
+log = logging.getLogger(__name__)
+
 
 def parse_symbols(lines: DataFrame, binary: str) -> DataFrame:
     """(binary, addr, name) from a listing of defined symbols; of names with one address the greatest is kept."""
@@ -34,6 +40,30 @@ def symbol_sets(tables: dict[str, DataFrame], executable: str) -> DataFrame | No
     return found.distinct()
 
 
+def _listing(spark: SparkSession, *command: str) -> DataFrame:
+    """(value): lines that a tool prints on the driver; none if it can't be run. The environment's LD_PRELOAD is left out."""
+    env = {k: v for k, v in os.environ.items() if k != "LD_PRELOAD"}
+    try:
+        text = subprocess.run(command, capture_output=True, env=env, check=False).stdout.decode(errors="replace")
+    except OSError as e:
+        log.error("%s can't be run: %s", command[0], e)
+        text = ""
+    return spark.createDataFrame([(line,) for line in text.splitlines()], "value string")
+
+
+def binary_symbols(spark: SparkSession, executable: str) -> DataFrame | None:
+    """(name): symbols of an executable and its shared objects, as nm and ldd of the driver list them; None if the executable has none."""
+
+    def table(binary: str) -> DataFrame:
+        dynamic = ["-D"] if ".so" in os.path.basename(binary) else []
+        return parse_symbols(_listing(spark, "nm", "--defined-only", *dynamic, binary), binary)
+
+    # A program has tens of libraries: their paths are few.
+    libraries = [r["path"] for r in parse_dependencies(_listing(spark, "ldd", executable)).collect()]
+    found = symbol_sets({executable: table(executable), **{p: table(p) for p in libraries if p != executable}}, executable)
+    return None if found is None else found.select("name").distinct()
+
+
 def parse_memory_map(lines: DataFrame) -> DataFrame:
     """(path, addr_begin, offset) of executable mappings of files."""
     pattern = r"^([0-9a-f]+)-[0-9a-f]+\s+r-xp\s+([0-9a-f]+)\s+\S+\s+\S+\s+(\S+)"

@@ -67,10 +67,39 @@ def enclosing(events: DataFrame) -> DataFrame:
     return both.withColumn("value", F.when(F.col("type") == "ENTRY", F.col("id")).otherwise(F.when(F.col("_key") == 0, 0).otherwise(F.last(opened, ignorenulls=True).over(frame)))).drop("_key")
 
 
-def recorded_trace(events: DataFrame, begin: Column | None = None, end: Column | None = None, scope: Column | None = None) -> DataFrame:
-    """(thread, seq, id, type, depth, value): what gates let through, with depth before the entry or after the exit, and the trace value."""
+def within(events: DataFrame, intervals: DataFrame, at: str = "ts", by: str = "process") -> DataFrame:
+    """events of a process from begin on and before end: of what happens only while a runtime is up.
+
+    intervals(<by>, begin, end): an end that is null is not reached. An event in
+    several intervals stays once, one of a process without intervals goes. The
+    intervals of a process are few; the join is on the process, never on ranges
+    alone.
+    """
+    t = intervals.select(F.col(by).alias("_by"), F.col("begin").alias("_begin"), F.col("end").alias("_end"))
+    inside = (F.col(at) >= F.col("_begin")) & (F.col("_end").isNull() | (F.col(at) < F.col("_end")))
+    return events.join(t, (F.col(by) == F.col("_by")) & inside, "left_semi")
+
+
+def windowed_calls(events: DataFrame, length: str = "1 hour", late: str | None = None, at: str = "ts") -> DataFrame:
+    """(begin, id, type, calls): events of each id by windows of event time, for tables and streams.
+
+    late: how long a stream waits for late events; those that come later are
+    dropped, and windows are given out when they are closed.
+    """
+    events = events.withWatermark(at, late) if late else events
+    return events.groupBy(F.window(at, length).alias("w"), "id", "type").agg(F.count("*").alias("calls")).select(F.col("w.start").alias("begin"), "id", "type", "calls")
+
+
+def recorded_trace(events: DataFrame, begin: Column | None = None, end: Column | None = None, scope: Column | None = None, recording: Column | None = None) -> DataFrame:
+    """(thread, seq, id, type, depth, value): what gates let through, with depth before the entry or after the exit, and the trace value.
+
+    recording: events for which it is not true open and close the begin and end
+    gate, but are not recorded and change no depth.
+    """
     if begin is not None or end is not None:
         events = begin_end_gate(events, begin if begin is not None else F.lit(False), end if end is not None else F.lit(False), any_begin=begin is not None).where("active").drop("active")
+    if recording is not None:
+        events = events.where(recording)
     if scope is not None:
         events = scope_gate(events, scope).where("active").drop("active", "depth", "level", "matched")
     return enclosing(events).select("thread", "seq", "id", "type", (F.col("level") - 1).alias("depth"), "value")

@@ -28,7 +28,7 @@ def rows(columns, found):
     return collections.Counter(tuple(str(r[k]) for k in order) for r in found)
 
 
-@pytest.mark.parametrize("name", ["by_name_params", "nested_filters", "set_union", "hinted_flags", "virtual_edges", "compute_call_paths", "coarse_critical", "scc_membership", "common_caller", "common_caller_partial", "inline_compensation", "scope_gate", "trace_values", "address_asof", "json_filter_lines", "dot_lines"])
+@pytest.mark.parametrize("name", ["by_name_params", "nested_filters", "set_union", "hinted_flags", "virtual_edges", "compute_call_paths", "coarse_critical", "scc_membership", "common_caller", "common_caller_partial", "inline_compensation", "scope_gate", "trace_values", "address_asof", "json_filter_lines", "dot_lines", "recorded_within", "windowed_calls", "call_tree_log", "gnu_callbacks", "region_registrations", "set_dump", "symbol_sets", "mapped_symbols", "resolved_symbols"])
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     want = duck.execute(ORACLE_SQL[name])

@@ -500,12 +500,12 @@ def _set_dump(spark, sf_dir):
     return set_dump(select(derived.layered(spark, sf_dir), "hot = inline_specified(%%)  join(%hot, %hot)"), "hot")
 
 
-_BINARIES = "binaries AS (SELECT 'lib' || s_nationkey AS binary, s_suppkey AS addr, 'sym_' || s_suppkey % 100 AS name FROM supplier)"
+_BINARIES = "binaries AS (SELECT 'lib' || s_suppkey % 5 AS binary, s_suppkey AS addr, 'sym_' || s_suppkey % 100 AS name FROM supplier)"
 
 
 def _binaries(spark, sf_dir) -> DataFrame:
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    return supplier.select(F.concat(F.lit("lib"), F.col("s_nationkey").cast("string")).alias("binary"), F.col("s_suppkey").alias("addr"), F.concat(F.lit("sym_"), (F.col("s_suppkey") % 100).cast("string")).alias("name"))
+    return supplier.select(F.concat(F.lit("lib"), (F.col("s_suppkey") % 5).cast("string")).alias("binary"), F.col("s_suppkey").alias("addr"), F.concat(F.lit("sym_"), (F.col("s_suppkey") % 100).cast("string")).alias("name"))
 
 
 @query("symbol_sets", "SELECT DISTINCT b.binary AS binary, name FROM binaries b WHERE b.binary IN ('lib1', 'lib2', 'lib3')", _BINARIES)

@@ -62,3 +62,11 @@ def test_post_dominators(spark, seed):
     want = {(n, m) for n in above for m in above if n == m or target not in closure({e for e in edges if m not in e}, [n]) or (m == target)}
     frame = spark.createDataFrame([(target,)], "name string")
     assert {tuple(r) for r in post_dominators(frame, spark.createDataFrame(sorted(edges), "src string, dst string")).collect()} == want
+
+
+def test_long_cycle(spark):
+    order = random.Random(5).sample(range(40), 40)
+    ring = [(f"n{a:02}", f"n{b:02}") for a, b in zip(order, order[1:] + order[:1])]
+    tail = [("n07", "t0"), ("t0", "t1"), ("t1", "t2")]
+    found = strongly_connected(spark.createDataFrame([(n,) for n in {x for e in ring + tail for x in e}], "name string"), spark.createDataFrame(ring + tail, "src string, dst string"))
+    assert {r["name"]: r["scc"] for r in found.collect()} == {**{a: "n00" for a, _ in ring}, "t0": "t0", "t1": "t1", "t2": "t2"}

@@ -304,10 +304,10 @@ def _inline(spark, sf_dir):
     return inline.replace_inlined(graph, select(graph, "inline_specified(%%)").names, _symbols(graph))
 
 
-@query("symbol_semi_anti", "SELECT name, name IN (SELECT name FROM symbols) AS has_symbol FROM functions WHERE file_name LIKE 'order/%'", L, _SYMBOLS)
+@query("symbol_semi_anti", "SELECT name, name IN (SELECT name FROM symbols) AS has_symbol FROM names", L, _SYMBOLS)
 def _semi_anti(spark, sf_dir):
     graph = derived.layered(spark, sf_dir)
-    names, symbols = graph.functions.where("file_name like 'order/%'").select("name"), _symbols(graph)
+    names, symbols = graph.functions.select("name"), _symbols(graph)
     return inline.with_symbol(names, symbols).withColumn("has_symbol", F.lit(True)).union(inline.without_symbol(names, symbols).withColumn("has_symbol", F.lit(False)))
 
 
@@ -405,13 +405,19 @@ def _json_filter(spark, sf_dir):
     return json_filter(_flags(spark, sf_dir))
 
 
-_KEPT = "kept AS (SELECT name FROM names WHERE regexp_full_match(name, '(region|nation)_.*'))"
+_DOT = """SELECT '  "' || name || '" [label="' || name || '"]' AS line FROM kept UNION ALL SELECT '  "' || src || '" -> "' || dst || '"' FROM all_edges WHERE src IN (SELECT name FROM kept) AND dst IN (SELECT name FROM kept) UNION ALL SELECT 'digraph {' UNION ALL SELECT '}'"""
 
 
-@query("dot_lines", """SELECT '  "' || name || '" [label="' || name || '"]' AS line FROM kept UNION ALL SELECT '  "' || src || '" -> "' || dst || '"' FROM all_edges WHERE src IN (SELECT name FROM kept) AND dst IN (SELECT name FROM kept) UNION ALL SELECT 'digraph {' UNION ALL SELECT '}'""", L, _KEPT)
+@query("dot_lines", _DOT, L, "kept AS (SELECT name FROM names)")
 def _dot(spark, sf_dir):
+    return dot_lines(derived.layered(spark, sf_dir))
+
+
+@query("dot_selection", _DOT, L, _FLAGS, "kept AS (SELECT name FROM names LEFT JOIN flags USING (name) WHERE coalesce(flags, 1) & 15 <> 0)")
+def _dot_selection(spark, sf_dir):
     graph = derived.layered(spark, sf_dir)
-    return dot_lines(graph, graph.names.where(full_match(F.col("name"), "(region|nation)_.*")).withColumn("flags", F.lit(1)))
+    flags = graph.names.join(_flags(spark, sf_dir), "name", "left").select("name", F.coalesce("flags", F.lit(1)).alias("flags"))
+    return dot_lines(graph, flags)
 
 
 @query("merged_functions", "SELECT 'part_' || l_partkey AS name, max(l_linestatus) AS file_name, bool_or(l_returnflag = 'R') AS is_inlined FROM lineitem GROUP BY l_partkey")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -124,44 +125,44 @@ class PrefixTableEncoder:
         size, known, stable = self.vocab.size, self.pairs.get, self.stable
         lengths, codes = [0] * (len(s) + 1), [-1] * (len(s) + 1)
         settled = 0
-
-        def settle_to(end: int) -> None:
-            for k in range(settled + 1, end):
-                if not lengths[k]:
-                    lengths[k], codes[k] = 1, size + ord(s[k - 1])
-
         for last, (n, code) in self.matcher.iter(s):
             end = last + 1
             if lengths[end]:
                 continue
-            if end > settled + 1:
-                settle_to(end)
-                settled = end - 1
+            while settled < last:  # no entry ends there: a character that the vocabulary lacks
+                settled += 1
+                if not lengths[settled]:
+                    lengths[settled], codes[settled] = 1, size + ord(s[settled - 1])
             before = codes[end - n]
             ok = known((before, code))
             if ok is None:
                 ok = stable(before, code)
             if ok:
                 lengths[end], codes[end] = n, code
-        settle_to(len(s) + 1)
+        for k in range(settled + 1, len(s) + 1):
+            if not lengths[k]:
+                lengths[k], codes[k] = 1, size + ord(s[k - 1])
         return lengths, codes
 
     def piece_ids(self, s: str) -> bytes:
         """Ids of one piece of text whose spaces are marks already."""
         (lengths, codes), end, ids, v = self.prefix_table(s), len(s), [], self.vocab
+        size = v.size
         while end:
             code = codes[end]
-            if code < v.size:
+            if code < size:
                 ids.append(code)
             elif v.byte_to_id:
                 ids += [v.byte_to_id[b] for b in reversed(s[end - 1].encode())]
             else:
                 ids.append(v.unk)
             end -= lengths[end]
-        return np.array(ids[::-1], "<u4").tobytes()
+        ids.reverse()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def part_ids(self, part: str) -> bytes:
-        pieces = self.cut.split(MARK + part) if self.cut else [MARK + part]
+        # Cuts lie before punctuation, which words of letters and digits don't have.
+        pieces = [MARK + part] if part.isalnum() or not self.cut else self.cut.split(MARK + part)
         if len(pieces) == 1:
             return self.piece_ids(pieces[0])
         ids = []

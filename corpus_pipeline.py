@@ -40,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates: the one with the smallest id.
 
     Near-duplicates are documents whose five-word shingles have a similarity of
-    0.8 or more, among the pairs that the tiled comparison of SimHashes
-    proposes, and those that a chain of such pairs connects.
+    0.8 or more, and those that a chain of such pairs connects. The tiled
+    comparison of SimHashes proposes most pairs, prefixes of the sets the rest.
     """
     return one_of_each_close_copy(docs)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..tables import discard, new_folder, written
 
-__all__ = ["crc_of_id", "discard", "fresh_names", "in_id_order", "new_folder", "nonempty", "partitions_for", "record", "short_batches", "shuffle_partitions", "strings", "table", "written"]
+__all__ = ["crc_of_id", "discard", "fresh_names", "in_id_order", "known_bytes", "new_folder", "nonempty", "partitions_for", "record", "short_batches", "shuffle_partitions", "strings", "table", "written"]
 
 #: Rows and bytes of one Arrow batch sent to Python: texts have no length bound, so both are kept small.
 BATCH_ROWS = 512
@@ -35,12 +35,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 PARTITION_BYTES = 128 << 20
 
 
-def partitions_for(df: DataFrame) -> int:
-    """Partitions for an exchange of all of df: spark.sql.shuffle.partitions at least, more if it reads large tables; nothing is run."""
+def known_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, as the planner estimates them; nothing is run."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
-    known = sum(n for n in sizes if n < 1 << 60)  # what is no file has no size
-    return max(shuffle_partitions(df.sparkSession), min(1 << 17, known // PARTITION_BYTES))
+    return sum(n for n in sizes if n < 1 << 60)  # what is no file has no size
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for an exchange of all of df: spark.sql.shuffle.partitions at least, more if it reads large tables; nothing is run."""
+    return max(shuffle_partitions(df.sparkSession), min(1 << 17, known_bytes(df) // PARTITION_BYTES))
 
 
 def in_id_order(rows: DataFrame) -> DataFrame:

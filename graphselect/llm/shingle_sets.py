@@ -1,8 +1,13 @@
-"""Near copies for the pipeline: SimHash proposes, the likeness of shingle sets decides.
+"""Near copies for the pipeline: SimHash proposes, shared rare shingles propose the rest, the likeness of shingle sets decides.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard
-similarity of 0.8 or more.  Pairs are proposed by the tiled exact comparison of
-the sets' SimHashes and confirmed on the whole sets.
+similarity of 0.8 or more.  The tiled exact comparison of the sets' SimHashes
+proposes pairs, which are confirmed on the whole sets and give components.  What
+is not in one component yet is proposed again by prefixes, which miss no pair:
+sets of n and m members that are alike have a member in common among the first
+n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 of any order of all members.  The
+order here begins with rare ones.  Pairs within a component are never made, so
+a group of near copies costs pairs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -16,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import SEED, closest_near_links, fingerprint_of, one_of_each, placed_components, shingle_hashes
+from .components import connected_components
+from .simhash import BLOCK, SEED, closest_near_links, fingerprint_of, one_of_each, placed_components, shingle_hashes
 
 SHINGLE = 5
 #: Differing bits of SimHashes up to which texts are proposed by the tiled comparison.
 RADIUS = 12
 #: Bits of the filter of texts whose sets are needed: a matter of speed only.
 BITMAP = 1 << 24
+#: Counters that tell frequent shingles from rare ones: a matter of speed only.
+COUNTERS = 1 << 18
 
 
 def shingles(text: str) -> np.ndarray:
@@ -77,7 +85,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs(u, v) whose sets are alike."""
+    """Those of pairs(u, v) whose sets are alike.
+
+    A pair moves two sets, so pairs are taken in turns, whose sets have about as
+    many bytes as docs.
+    """
     sets = common.written(sets_of(docs, pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()), "sets")
     common.short_batches(pairs.sparkSession)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -85,14 +97,24 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def like(a: pa.Scalar, b: pa.Scalar) -> bool:
         x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
-        return bool(alike(len(x) + len(y) - len(np.union1d(x, y)), len(x), len(y)))
+        return bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in common.nonempty(batches):
             keep = pa.array([like(a, b) for a, b in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield batch.select([0, 1]).filter(keep).cast(schema)
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    sizes = sets.select("fp", F.length("tokens").alias("bytes"))
+    weighed = pairs.join(sizes.select(F.col("fp").alias("u"), F.col("bytes").alias("a")), "u").join(sizes.select(F.col("fp").alias("v"), F.col("bytes").alias("b")), "v")
+    moved = weighed.agg(F.sum(F.col("a").cast("long") + F.col("b"))).first()[0] or 0
+    turns = -(-max(moved, 1) // max(common.known_bytes(docs), common.PARTITION_BYTES))
+    found = None
+    for turn in range(turns):
+        now = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(turns)) == turn) if turns > 1 else pairs
+        got = common.written(now.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "alike")
+        found = got if found is None else found.union(got)
+    common.discard(sets)
+    return found
 
 
 def named_fingerprints(docs: DataFrame) -> DataFrame:
@@ -108,21 +130,170 @@ def named_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, print long")
 
 
+def prefix_length(n: int) -> int:
+    """Of a set of n members, so many of the first in any common order have one that an alike set has among its own."""
+    return n - -(-4 * n // 5) + 1 if n else 0
+
+
+def levels_of(docs: DataFrame) -> np.ndarray:
+    """For each counter (a shingle's last bits) a level that grows with the number of texts that have such shingles."""
+    schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+    width = COUNTERS // 64
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in common.nonempty(batches):
+            for text in common.strings(batch.column(0)):
+                np.add.at(held, (shingles(text) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        yield common.record(schema, [list(range(64)), [held[k * width : (k + 1) * width].tobytes() for k in range(64)]])
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in parts["counts"])
+        return pa.table([pa.array([parts["part"][0].as_py()], pa.int32()), pa.array([np.frexp(total.astype(np.float64))[1].astype(np.uint8).tobytes()], pa.binary())], schema=schema)
+
+    levels = np.zeros(COUNTERS, np.uint8)
+    for row in _texts(docs, count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # COUNTERS bytes
+        levels[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], np.uint8)
+    return levels
+
+
+def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(fp, size long, tokens binary): of each distinct shingle set its size and its prefix in an order of levels, then of hashes."""
+    schema = pa.schema([("fp", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary())])
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in common.nonempty(batches):
+            out = {}
+            for text in common.strings(batch.column(0)):
+                own = shingles(text)
+                order = np.argsort(shared.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")  # own is ascending
+                out[name_of(own)] = (len(own), own[order[: prefix_length(len(own))]].tobytes())
+            yield common.record(schema, [list(out), *(list(x) for x in zip(*out.values()))])
+
+    return _texts(docs, run, "fp long, size long, tokens binary").dropDuplicates(["fp"])
+
+
+def apart_pairs(tokens: np.ndarray, at: np.ndarray, place: np.ndarray, names: np.ndarray, roots: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of names with different roots that have a token at places and with sizes that let them be alike.
+
+    Token k is at place[k] of the prefix of the set at[k]; names, roots and sizes
+    are of sets.  A pair that is alike comes at the first token it has in common;
+    it may come again.
+    """
+    order = np.argsort(tokens, kind="stable")
+    tokens, at, place = tokens[order], at[order], place[order]
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(tokens))
+    if len(starts):
+        own = roots[at]
+        mixed = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
+        starts, ends = starts[mixed], ends[mixed]
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        left = sizes[at[a:b]] - place[a:b]  # members from this one on
+        order = np.argsort(sizes[at[a:b]], kind="stable")
+        left, own = left[order], at[a:b][order]
+        n = sizes[own]
+        for k in range(0, b - a, BLOCK):
+            # Of sets that are no smaller, those of up to 5/4 of the size.
+            for m in range(k, int(np.searchsorted(4 * n, 5 * n[min(k + BLOCK, b - a) - 1], side="right")), 4096):
+                x, y = slice(k, k + BLOCK), slice(m, m + 4096)
+                fit = 9 * np.minimum(left[x, None], left[None, y]) >= 4 * (n[x, None] + n[None, y])
+                fit &= roots[own[x], None] != roots[None, own[y]]
+                i, j = np.nonzero(fit)
+                i, j = i + k, j + m
+                i, j = own[i[i < j]], own[j[i < j]]
+                if len(i):
+                    yield np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
+
+
+def rest_of_pairs(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """roots(fp, root) of all distinct sets of docs -> pairs (u, v) with different roots: all that are alike, and others."""
+    marked = prefixes(docs, levels_of(docs)).join(roots, "fp")
+    parts = common.partitions_for(docs)
+    names = ["part", "tokens", "at", "place", "names", "sizes", "joined", "roots"]
+    block = pa.schema([(n, pa.binary() if k else pa.int32()) for k, n in enumerate(names)])
+
+    def deal(batches) -> Iterator[pa.RecordBatch]:
+        """Of each batch and part the prefixes' members (32 bits: what is equal there is compared anyway), their sets, and roots of sets that are not their own."""
+        for batch in common.nonempty(batches):
+            found = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
+            n = np.array([len(x) for x in found], np.int64)
+            tokens = np.concatenate(found)
+            at = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+            part = (tokens >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            fps, sizes, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            rows = []
+            for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                if len(some):
+                    sets, index = np.unique(at[some], return_inverse=True)
+                    joined = np.flatnonzero(roots[sets] != fps[sets])
+                    rows.append((int(part[some[0]]), *(x.tobytes() for x in (tokens[some].astype("<u4"), index.astype("<u2"), place[some].astype("<u4"), fps[sets], sizes[sets], joined.astype("<u2"), roots[sets[joined]]))))
+            if rows:
+                yield common.record(block, [list(x) for x in zip(*rows)])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in rows[name]]
+        own = read("names", "<i8")
+        first = np.cumsum([0, *map(len, own)])
+        whole = lambda name: np.concatenate([x.astype(np.int64) + f for x, f in zip(read(name, "<u2"), first)])
+        own = np.concatenate(own)
+        roots = own.copy()
+        roots[whole("joined")] = np.concatenate(read("roots", "<i8"))
+        held, n = [np.zeros((0, 2), np.int64)], 0
+        for u, v in apart_pairs(np.concatenate(read("tokens", "<u4")), whole("at"), np.concatenate(read("place", "<u4")).astype(np.int64), own, roots, np.concatenate(read("sizes", "<i8"))):
+            held.append(np.stack([u, v], axis=1))
+            n += len(u)
+            if n > 1 << 20:
+                held, n = [np.unique(np.concatenate(held), axis=0)], 0
+        pairs = np.unique(np.concatenate(held), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    dealt = marked.select("fp", "size", "tokens", "root").mapInArrow(deal, "part int, " + ", ".join(f"{n} binary" for n in names[1:]))
+    return dealt.repartition(parts, "part").groupBy("part").applyInArrow(meet, "u long, v long").distinct()
+
+
+def _roots(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root) of all of distinct(fp)."""
+    nodes = connected_components(links).withColumnRenamed("node", "fp")
+    return common.written(distinct.select("fp").join(nodes, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of pairs(u, v) that have different roots."""
+    u, v = roots.select(F.col("fp").alias("u"), F.col("root").alias("ru")), roots.select(F.col("fp").alias("v"), F.col("root").alias("rv"))
+    return pairs.join(u, "u").join(v, "v").where("ru <> rv").select("u", "v")
+
+
+def close_links(docs: DataFrame, named: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """named(fp, print) of all distinct sets of docs -> links (u, v) that connect what alike sets connect."""
+    pairs = common.written(closest_near_links(named.select(F.col("print").alias("fp"), F.col("fp").alias("name")), radius).distinct(), "candidates")
+    # First for each set its closest partner and, of all, the one whose hash is least: rows in proportion to sets. Most of the other pairs are within a component then.
+    u, v = named.select(F.col("fp").alias("u"), F.col("print").alias("pu")), named.select(F.col("fp").alias("v"), F.col("print").alias("pv"))
+    measured = pairs.join(u, "u").join(v, "v").select("u", "v", F.bit_count(F.col("pu").bitwiseXOR(F.col("pv"))).alias("d"))
+    both = measured.union(measured.select("v", "u", "d"))
+    hub = F.xxhash64("v")
+    best = both.groupBy("u").agg(F.min(F.struct("d", hub.alias("hub"), "v"))["v"].alias("a"), F.min(F.struct(hub.alias("hub"), "v"))["v"].alias("b"))
+    best = best.select("u", F.explode(F.array("a", "b")).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = confirmed(docs, common.written(best, "closest"))
+    for more in (lambda roots: _apart(pairs, roots), lambda roots: rest_of_pairs(docs, roots)):
+        links = links.union(confirmed(docs, common.written(more(_roots(named, links)), "candidates")))
+    return links
+
+
 def one_of_each_close_copy(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows of docs, one of each component of links, as in simhash.one_of_each_group.
 
-    Links are pairs of texts whose five-word shingle sets have a similarity of
-    0.8 or more, confirmed on the whole sets, among those that the tiled
-    comparison of the sets' SimHashes proposes: within each two tiles a
-    spanning forest of what is within the radius, the closest pairs first.  So
-    no text goes without a text that is alike, and a group of near copies costs
-    rows in proportion to its size.
+    Links are all pairs of texts whose five-word shingle sets have a similarity
+    of 0.8 or more.  radius is a matter of speed only: SimHashes that differ in
+    up to so many bits are compared first, and prefixes find what they leave.
     """
     rows = common.written(named_fingerprints(docs), "fingerprints")
 
     def links(distinct: DataFrame) -> DataFrame:
-        named = rows.groupBy("fp").agg(F.first("print").alias("print")).select(F.col("print").alias("fp"), F.col("fp").alias("name"))
-        pairs = common.written(closest_near_links(named, radius).distinct(), "candidates")
-        return common.written(confirmed(docs, pairs), "links")
+        named = common.written(rows.groupBy("fp").agg(F.first("print").alias("print")), "named")
+        return common.written(close_links(docs, named, radius), "links")
 
     return one_of_each(docs, rows.select("doc_id", "fp"), placed_components(rows.select("doc_id", "fp"), links), set_name)

@@ -184,10 +184,10 @@ def closest_links(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
             if len(i):
                 held.append(np.stack([i + start, j + sb[m] + shift, bits[i, j].astype(np.int64)]))
                 n += len(i)
-        if n > most:
-            edges = np.concatenate(held, axis=1)
-            held = [edges[:, _thinned(len(names), *edges)]]
-            n = 0
+            if n > most:
+                edges = np.concatenate(held, axis=1)
+                held = [edges[:, _thinned(len(names), *edges)]]
+                n = 0
     edges = np.concatenate(held, axis=1)
     edges = edges[:, _thinned(len(names), *edges)]
     return names[edges[0]], names[edges[1]]

@@ -7,7 +7,11 @@ is not in one component yet is proposed again by prefixes, which miss no pair:
 sets of n and m members that are alike have a member in common among the first
 n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 of any order of all members.  The
 order here begins with rare ones.  Pairs within a component are never made, so
-a group of near copies costs pairs in proportion to its size.
+a group of near copies costs pairs in proportion to its size.  Members that
+only one component has go first, without any pair.  Of what is left, pairs are
+made where their signatures are: bits of odd counts, which differ in no more
+places than the sets have members that are not shared.  So hardly any pair that
+is not alike is made, and whole sets are moved for few others.
 """
 
 from __future__ import annotations
@@ -88,7 +92,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs(u, v) whose sets are alike.
 
     A pair moves two sets, so pairs are taken in turns, whose sets have about as
-    many bytes as docs.
+    many bytes as docs; a turn takes all pairs of some sets u, and moves only
+    those sets u.
     """
     sets = common.written(sets_of(docs, pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()), "sets")
     common.short_batches(pairs.sparkSession)
@@ -110,24 +115,80 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     turns = -(-max(moved, 1) // max(common.known_bytes(docs), common.PARTITION_BYTES))
     found = None
     for turn in range(turns):
-        now = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(turns)) == turn) if turns > 1 else pairs
-        got = common.written(now.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "alike")
+        mine = F.pmod(F.xxhash64("u"), F.lit(turns)) == turn
+        got = common.written(pairs.where(mine).join(left.where(mine), "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "alike")
         found = got if found is None else found.union(got)
     common.discard(sets)
     return found
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """Words of bits, 2 to 4 for each member of the set: a bit is 1 if an odd number of members fall on it."""
+    n = max(64, 1 << int(2 * len(found) - 1).bit_length()) if len(found) else 64
+    odd = np.bincount(((found >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """The signature that the set has in width words."""
+    while len(bits) > width:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def differing(bits: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of places in bits the number of bits that differ: never more than the members that only one of the two sets has."""
+    width = np.array([len(x) for x in bits], np.int64)
+    least, out = np.minimum(width[i], width[j]), np.zeros(len(i), np.int64)
+    for w in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == w)
+        step = max(1, (1 << 18) // w)
+        for some in (pairs[k : k + step] for k in range(0, len(pairs), step)):
+            used, place = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
+            rows = np.stack([_folded(bits[k], w) for k in used.tolist()])
+            out[some] = np.bitwise_count(rows[place[: len(some)]] ^ rows[place[len(some) :]]).sum(axis=1)
+    return out
+
+
+def maybe_alike(differ, a, b):
+    """Whether sets of sizes a and b whose signatures differ in so many bits may be alike; all that are alike may."""
+    return 9 * differ <= a + b
+
+
 def named_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, print): the name of each text's shingle set and the set's SimHash; null texts count as empty."""
+    """(doc_id, fp, print, size, bits binary): the name of each text's shingle set, and the set's SimHash, size and signature; null texts count as empty."""
     common.short_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("print", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("print", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in common.nonempty(batches):
             sets = [shingles(x) for x in common.strings(batch.column(1))]
-            yield common.record(schema, [batch.column(0), [name_of(x) for x in sets], [fingerprint_of(x) for x in sets]])
+            yield common.record(schema, [batch.column(0), [name_of(x) for x in sets], [fingerprint_of(x) for x in sets], [len(x) for x in sets], [signature(x).tobytes() for x in sets]])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, print long, size long, bits binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, print long")
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """(fp, print, size, bits), one row for each fp of named_fingerprints."""
+    return rows.groupBy("fp").agg(*(F.first(x).alias(x) for x in ("print", "size", "bits")))
+
+
+def closeness(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """(u, v, d): those of pairs(u, v) that may be alike, and the share of their members that differ at least."""
+    common.short_batches(pairs.sparkSession)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.float64())])
+    left, right = (named.select(F.col("fp").alias(x), F.col("size").alias("size_" + x), F.col("bits").alias("bits_" + x)) for x in "uv")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in common.nonempty(batches):
+            n = batch.num_rows
+            bits = [np.frombuffer(x.as_buffer(), np.uint64) for k in (4, 5) for x in batch.column(k)]
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            differ = differing(bits, np.arange(n), np.arange(n, 2 * n))
+            keep = pa.array(maybe_alike(differ, a, b))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ / np.maximum(a + b, 1))], schema=schema).filter(keep)
+
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "size_u", "size_v", "bits_u", "bits_v").mapInArrow(run, "u long, v long, d double")
 
 
 def prefix_length(n: int) -> int:
@@ -207,8 +268,34 @@ def apart_pairs(tokens: np.ndarray, at: np.ndarray, place: np.ndarray, names: np
                     yield np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
 
 
-def rest_of_pairs(docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """roots(fp, root) of all distinct sets of docs -> pairs (u, v) with different roots: all that are alike, and others."""
+def apart_members(tokens: np.ndarray, at: np.ndarray, place: np.ndarray, roots: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Those of 0..len(tokens)-1 that are in a pair of apart_pairs; of tokens that more than 2048 sets have, all if roots differ."""
+    order = np.argsort(tokens, kind="stable")
+    ordered = tokens[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    own = roots[at[order]]
+    ends = np.append(starts[1:], len(tokens))
+    if len(starts):
+        mixed = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
+        starts, ends = starts[mixed], ends[mixed]
+    found = [np.zeros(0, np.int64)]
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        some = order[a:b]
+        if b - a <= 2048:
+            n, root = sizes[at[some]], own[a:b]
+            left = n - place[some]
+            fit = 9 * np.minimum(left[:, None], left[None, :]) >= 4 * (n[:, None] + n[None, :])
+            fit &= root[:, None] != root[None, :]
+            some = some[fit.any(axis=1)]
+        found.append(some)
+    return np.concatenate(found)
+
+
+def shared_members(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """roots(fp, root) of all distinct sets of docs -> (fp, token, left): members of prefixes that sets with other roots have in theirs, and how many follow in the set's order.
+
+    Rows are in proportion to members of prefixes, however many sets share one.
+    """
     marked = prefixes(docs, levels_of(docs)).join(roots, "fp")
     parts = common.partitions_for(docs)
     names = ["part", "tokens", "at", "place", "names", "sizes", "joined", "roots"]
@@ -221,7 +308,8 @@ def rest_of_pairs(docs: DataFrame, roots: DataFrame) -> DataFrame:
             n = np.array([len(x) for x in found], np.int64)
             tokens = np.concatenate(found)
             at = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+            # A lower place than the true one lets more pairs pass, and loses none.
+            place = np.minimum(np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n), 65535)
             part = (tokens >> np.uint64(32)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             fps, sizes, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
@@ -230,29 +318,63 @@ def rest_of_pairs(docs: DataFrame, roots: DataFrame) -> DataFrame:
                 if len(some):
                     sets, index = np.unique(at[some], return_inverse=True)
                     joined = np.flatnonzero(roots[sets] != fps[sets])
-                    rows.append((int(part[some[0]]), *(x.tobytes() for x in (tokens[some].astype("<u4"), index.astype("<u2"), place[some].astype("<u4"), fps[sets], sizes[sets], joined.astype("<u2"), roots[sets[joined]]))))
+                    rows.append((int(part[some[0]]), *(x.tobytes() for x in (tokens[some].astype("<u4"), index.astype("<u2"), place[some].astype("<u2"), fps[sets], sizes[sets].astype("<u4"), joined.astype("<u2"), roots[sets[joined]]))))
             if rows:
                 yield common.record(block, [list(x) for x in zip(*rows)])
 
     def meet(rows: pa.Table) -> pa.Table:
-        read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in rows[name]]
+        read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows[name]]
         own = read("names", "<i8")
         first = np.cumsum([0, *map(len, own)])
         whole = lambda name: np.concatenate([x.astype(np.int64) + f for x, f in zip(read(name, "<u2"), first)])
         own = np.concatenate(own)
         roots = own.copy()
         roots[whole("joined")] = np.concatenate(read("roots", "<i8"))
-        held, n = [np.zeros((0, 2), np.int64)], 0
-        for u, v in apart_pairs(np.concatenate(read("tokens", "<u4")), whole("at"), np.concatenate(read("place", "<u4")).astype(np.int64), own, roots, np.concatenate(read("sizes", "<i8"))):
-            held.append(np.stack([u, v], axis=1))
+        tokens, at, place, sizes = np.concatenate(read("tokens", "<u4")), whole("at"), np.concatenate(read("place", "<u2")).astype(np.int64), np.concatenate(read("sizes", "<u4")).astype(np.int64)
+        some = apart_members(tokens, at, place, roots, sizes)
+        token = (rows["part"][0].as_py() << 32) + tokens[some].astype(np.int64)
+        return pa.table([pa.array(own[at[some]]), pa.array(token), pa.array((sizes[at[some]] - place[some]))], names=["fp", "token", "left"])
+
+    dealt = marked.select("fp", "size", "tokens", "root").mapInArrow(deal, "part int, " + ", ".join(f"{n} binary" for n in names[1:]))
+    return dealt.repartition(parts, "part").groupBy("part").applyInArrow(meet, "fp long, token long, left long")
+
+
+def rest_of_pairs(docs: DataFrame, roots: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """roots(fp, root) of all distinct sets of docs -> pairs (u, v) with different roots: all that are alike, and few others.
+
+    named is distinct_sets of docs, which is made here if it is not given.
+    """
+    if named is None:
+        named = common.written(distinct_sets(named_fingerprints(docs)), "named")
+    parts = common.partitions_for(docs)
+    shared = common.written(shared_members(docs, roots), "shared")
+
+    def meet(rows: pa.Table) -> pa.Table:
+        column = lambda name: rows[name].to_numpy()
+        names, first, at = np.unique(column("fp"), return_index=True, return_inverse=True)
+        bits = [np.frombuffer(rows["bits"][k].as_buffer(), np.uint64) for k in first.tolist()]
+        sizes, own = column("size")[first], column("root")[first]
+        found, held, n = [], [], 0
+
+        def settle() -> None:
+            pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
+            u, v = pairs // len(names), pairs % len(names)
+            found.append(pairs[maybe_alike(differing(bits, u, v), sizes[u], sizes[v])])
+            held.clear()
+
+        for u, v in apart_pairs(column("token"), at, sizes[at] - column("left"), np.arange(len(names)), own, sizes):
+            held.append(u * len(names) + v)
             n += len(u)
             if n > 1 << 20:
-                held, n = [np.unique(np.concatenate(held), axis=0)], 0
-        pairs = np.unique(np.concatenate(held), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+                settle()
+                n = 0
+        settle()
+        pairs = np.unique(np.concatenate(found))
+        u, v = names[pairs // len(names)], names[pairs % len(names)]
+        return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-    dealt = marked.select("fp", "size", "tokens", "root").mapInArrow(deal, "part int, " + ", ".join(f"{n} binary" for n in names[1:]))
-    return dealt.repartition(parts, "part").groupBy("part").applyInArrow(meet, "u long, v long").distinct()
+    marked = shared.join(named.select("fp", "size", "bits"), "fp").join(roots, "fp").withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
+    return marked.repartition(parts, "part").groupBy("part").applyInArrow(meet, "u long, v long").distinct()
 
 
 def _roots(distinct: DataFrame, links: DataFrame) -> DataFrame:
@@ -261,26 +383,18 @@ def _roots(distinct: DataFrame, links: DataFrame) -> DataFrame:
     return common.written(distinct.select("fp").join(nodes, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of pairs(u, v) that have different roots."""
-    u, v = roots.select(F.col("fp").alias("u"), F.col("root").alias("ru")), roots.select(F.col("fp").alias("v"), F.col("root").alias("rv"))
-    return pairs.join(u, "u").join(v, "v").where("ru <> rv").select("u", "v")
-
-
 def close_links(docs: DataFrame, named: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """named(fp, print) of all distinct sets of docs -> links (u, v) that connect what alike sets connect."""
+    """distinct_sets of docs -> links (u, v) that connect what alike sets connect."""
     pairs = common.written(closest_near_links(named.select(F.col("print").alias("fp"), F.col("fp").alias("name")), radius).distinct(), "candidates")
     # First for each set its closest partner and, of all, the one whose hash is least: rows in proportion to sets. Most of the other pairs are within a component then.
-    u, v = named.select(F.col("fp").alias("u"), F.col("print").alias("pu")), named.select(F.col("fp").alias("v"), F.col("print").alias("pv"))
-    measured = pairs.join(u, "u").join(v, "v").select("u", "v", F.bit_count(F.col("pu").bitwiseXOR(F.col("pv"))).alias("d"))
+    measured = common.written(closeness(pairs, named), "measured")
     both = measured.union(measured.select("v", "u", "d"))
     hub = F.xxhash64("v")
     best = both.groupBy("u").agg(F.min(F.struct("d", hub.alias("hub"), "v"))["v"].alias("a"), F.min(F.struct(hub.alias("hub"), "v"))["v"].alias("b"))
     best = best.select("u", F.explode(F.array("a", "b")).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     links = confirmed(docs, common.written(best, "closest"))
-    for more in (lambda roots: _apart(pairs, roots), lambda roots: rest_of_pairs(docs, roots)):
-        links = links.union(confirmed(docs, common.written(more(_roots(named, links)), "candidates")))
-    return links
+    rest = common.written(rest_of_pairs(docs, _roots(named, links), named), "candidates")
+    return links.union(confirmed(docs, rest))
 
 
 def one_of_each_close_copy(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -293,7 +407,7 @@ def one_of_each_close_copy(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = common.written(named_fingerprints(docs), "fingerprints")
 
     def links(distinct: DataFrame) -> DataFrame:
-        named = common.written(rows.groupBy("fp").agg(F.first("print").alias("print")), "named")
+        named = common.written(distinct_sets(rows), "named")
         return common.written(close_links(docs, named, radius), "links")
 
     return one_of_each(docs, rows.select("doc_id", "fp"), placed_components(rows.select("doc_id", "fp"), links), set_name)
